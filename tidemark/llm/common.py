@@ -56,7 +56,7 @@ def with_field(df: DataFrame, *fields: tuple[str, str], drop: tuple[str, ...] =
         if f.name not in names:
             new = new.add(f)
     for n, kind in fields:
-        new = new.add(n, kind)
+        new = new.add(n, T.DataType.fromDDL(kind))
     return new
 
 
