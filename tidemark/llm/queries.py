@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, piece_codec
+from . import chat, piece_codec, quality
+from .common import held_out, written
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -17,6 +18,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole text, learnt from the labelled rows outside fold 0."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    features = written(quality.statistics(docs, drop=("text",)), "statistics")
+    model = quality.fit(features, read(spark, sf_dir, "labels"))
+    return quality.score(features, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", quality.keep(F.col("score")).cast("int").alias("predicted")
+    )
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1 formatted; figures and digests are read back from the formatted strings."""
     said = "</s>[INST] ok [/INST]"
@@ -50,6 +61,7 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op8_chat_format": op8_chat_format,
     "op9_piece_codec": op9_piece_codec,
 }
