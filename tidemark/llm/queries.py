@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, piece_codec, quality
+from . import chat, language, piece_codec, quality
 from .common import held_out, written
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -60,10 +60,20 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learnt from a bounded sample of the labelled rows outside fold 0."""
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(language.sample(docs.select("doc_id", "lang", "text")))
+    return language.predict(docs.select("doc_id", "text"), model, drop=("text",)).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op8_chat_format": op8_chat_format,
     "op9_piece_codec": op9_piece_codec,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
