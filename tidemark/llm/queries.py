@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, piece_codec, quality
+from . import chat, fingerprint, language, mixing, piece_codec, quality
 from .common import held_out, written
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -18,6 +18,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text."""
+    return fingerprint.edit_likeness(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every whole text, learnt from the labelled rows outside fold 0."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -28,6 +33,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+    return mixing.mix(written(docs, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1 formatted; figures and digests are read back from the formatted strings."""
     said = "</s>[INST] ok [/INST]"
@@ -53,10 +64,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text with an end id, and what they decode to, as digests."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = piece_codec.encode(docs, PIECE_MODEL, eos=True, drop=("text",))
-    ids = ids.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("ids_sha256", F.sha2(F.array_join("ids", " "), 256))
-    return piece_codec.decode(ids, PIECE_MODEL, drop=("ids",)).select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
+    ids = piece_codec.encode(docs, PIECE_MODEL, eos=True, decoded="decoded", drop=("text",))
+    return ids.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
 
 
@@ -70,7 +83,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprint": op1_fingerprint,
     "op2_quality": op2_quality,
+    "op4_mixing": op4_mixing,
     "op8_chat_format": op8_chat_format,
     "op9_piece_codec": op9_piece_codec,
     "op10_language": op10_language,
