@@ -10,6 +10,7 @@ never share a merge (no piece has the space mark inside), so each distinct word
 from __future__ import annotations
 
 from array import array
+from collections.abc import Callable
 from functools import cached_property, lru_cache
 
 import ahocorasick
@@ -18,11 +19,24 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import texts, with_columns, with_field
+from .common import slices, texts, with_columns, with_field
 
 SPACE = "▁"
 #: Distinct words whose ids a Python worker keeps; beyond it the table starts anew, so a worker's memory is bounded.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
+#: Bytes of text that a task encodes at a time.
+BLOCK = 1_500_000
+
+
+class Words(dict):
+    """Numbers of words; a new word is encoded as it is first looked up."""
+
+    def __init__(self, place: Callable[[str], int]):
+        super().__init__()
+        self.place = place
+
+    def __missing__(self, key: str) -> int:
+        return self.place(key)
 
 
 class PieceTable:
@@ -76,7 +90,7 @@ class PieceTable:
         return parts
 
     def _start(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = Words(self.place)
         self.flat, self.starts = [], [0]
 
     def compatible(self, a: int, b: int) -> bool:
@@ -169,16 +183,14 @@ class PieceTable:
         return keys
 
     def place(self, key: str) -> int:
-        """The number of a word, encoding it when it is new."""
+        """The number of a new word, after encoding it."""
         n = len(self.words)
         if key[0] == "\0":
-            ids = self.piece_ids(key[1:])
-        elif key[0] == "\n":
-            ids = self.piece_ids(key)
+            text = key[1:]
         else:
-            ids = self.piece_ids(key if key == SPACE else SPACE + key)
+            text = key if key[0] == "\n" or key == SPACE else SPACE + key
         self.words[key] = n
-        self.flat.extend(ids)
+        self.flat += self.piece_ids(text)
         self.starts.append(len(self.flat))
         return n
 
@@ -186,13 +198,11 @@ class PieceTable:
         if len(self.words) > KEPT_WORDS:
             self._start()
             self.known.clear()
-        keys = [self.word_keys(text) for text in many]
-        for key in set().union(*keys) - self.words.keys():
-            self.place(key)
         numbers, counts, number_of = array("i"), [], self.words.__getitem__
-        for own in keys:
-            numbers.extend(map(number_of, own))
-            counts.append(len(own))
+        for text in many:
+            keys = self.word_keys(text)
+            numbers.extend(map(number_of, keys))
+            counts.append(len(keys))
         number, starts = np.frombuffer(numbers, np.int32), np.array(self.starts, np.int64)
         flat = np.array(self.flat, np.int32)
         length = starts[number + 1] - starts[number] if len(number) else np.zeros(0, np.int64)
@@ -284,8 +294,11 @@ def piece_table(model_path: str) -> PieceTable:
     return PieceTable(model_path)
 
 
-def encode(df: DataFrame, model_path: str, text: str = "text", out: str = "ids", bos: bool = False, eos: bool = True, drop: tuple[str, ...] = ()) -> DataFrame:
-    """df with `out`, an array of the ids that the sentencepiece library gives for `text` with this model.
+def encode(
+    df: DataFrame, model_path: str, text: str = "text", out: str = "ids", bos: bool = False, eos: bool = True, decoded: str | None = None, drop: tuple[str, ...] = ()
+) -> DataFrame:
+    """df with `out`, an array of the ids that the sentencepiece library gives for `text` with this model; and, where
+    `decoded` names a column, the text that these ids decode to.
 
     Null and empty texts have no ids but bos and eos. A column that is called `out` is replaced; others stay, but those
     in `drop`. Rows are independent: repeated rows and any order give the same ids, and an empty table stays empty.
@@ -295,12 +308,14 @@ def encode(df: DataFrame, model_path: str, text: str = "text", out: str = "ids",
     def run(batches):
         table = piece_table(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                ids = table.encode_batch(texts(part.column(col)), bos, eos)
-                yield with_columns(part, {out: ids}, drop)
+            many = texts(batch.column(col))
+            for a, b in slices(np.fromiter(map(len, many), np.int64, len(many)), BLOCK):
+                new = {out: table.encode_batch(many[a:b], bos, eos)}
+                if decoded:
+                    new[decoded] = pa.array(table.decode_batch(new[out]), pa.string())
+                yield with_columns(batch.slice(a, b - a), new, drop)
 
-    return df.mapInArrow(run, with_field(df, (out, "array<int>"), drop=drop))
+    return df.mapInArrow(run, with_field(df, (out, "array<int>"), *[(decoded, "string")] * bool(decoded), drop=drop))
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded", drop: tuple[str, ...] = ()) -> DataFrame:
@@ -310,9 +325,10 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded
     def run(batches):
         table = piece_table(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                lists = pa.array([x or [] for x in part.column(col).to_pylist()], pa.list_(pa.int32())) if part.column(col).null_count else part.column(col)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                column = part.column(col)
+                lists = pa.array([x or [] for x in column.to_pylist()], pa.list_(pa.int32())) if column.null_count else column
                 yield with_columns(part, {out: pa.array(table.decode_batch(lists), pa.string())}, drop)
 
     return df.mapInArrow(run, with_field(df, (out, "string"), drop=drop))
