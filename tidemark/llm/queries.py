@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, language, mixing, piece_codec, quality
+from . import chat, fingerprint, language, mixing, near_copies, piece_codec, quality
 from .common import held_out, written
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -39,6 +39,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(written(docs, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every document."""
+    return near_copies.near_copies(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1 formatted; figures and digests are read back from the formatted strings."""
     said = "</s>[INST] ok [/INST]"
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_quality": op2_quality,
     "op4_mixing": op4_mixing,
+    "op6_near_copies": op6_near_copies,
     "op8_chat_format": op8_chat_format,
     "op9_piece_codec": op9_piece_codec,
     "op10_language": op10_language,
