@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, language, mixing, near_copies, piece_codec, quality
+from . import byte_repeats, chat, fingerprint, language, mixing, near_copies, piece_codec, quality
 from .common import held_out, written
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -33,6 +33,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when repeated 100-byte strings go."""
+    return byte_repeats.cut_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
@@ -90,6 +97,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprint": op1_fingerprint,
     "op2_quality": op2_quality,
+    "op3_byte_repeats": op3_byte_repeats,
     "op4_mixing": op4_mixing,
     "op6_near_copies": op6_near_copies,
     "op8_chat_format": op8_chat_format,
