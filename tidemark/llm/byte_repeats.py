@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import with_field
 from .repeats import covered, repeated_starts, with_spans
 from .words import joined, powers, spread
 
@@ -172,15 +173,15 @@ def _by_bytes(data: np.ndarray, at: np.ndarray, run: np.ndarray) -> np.ndarray:
     return np.array(again, np.int64)
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
+def cut_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of each row of (doc_id, text): kept has the bytes that no
     100-byte string covers which also starts earlier (smaller doc_id, or earlier in the same document).
 
     Null texts are empty; texts of fewer than 100 bytes lose nothing. A doc_id stands for one text: repeated equal rows are
     one document and all get its result; null ids are one document before all others. An empty table gives no rows; other
-    columns are ignored.
+    columns are ignored, but those in `carry` stay.
     """
-    joined_rows = with_spans(docs, repeated_starts(docs, stretches_of, content_of, compare))
+    joined_rows = with_spans(docs, repeated_starts(docs, stretches_of, content_of, compare), carry)
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -196,6 +197,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
                     for o, v in zip(out, (len(raw), len(raw) - len(kept), runs, kept, hashlib.sha256(kept).hexdigest())):
                         o.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(o, k) for o, k in zip(out, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([*(part.column(3 + k) for k in range(len(carry))), part.column(0), *(pa.array(o, k) for o, k in zip(out, kinds))], names=[*carry, "doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return joined_rows.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
+    schema = with_field(docs.select(*carry), ("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept", "binary"), ("kept_sha256", "string"))
+    out = joined_rows.mapInArrow(cut, schema)
+    return out.select("doc_id", *[c for c in out.columns if c != "doc_id"])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_repeats, chat, fingerprint, language, mixing, near_copies, piece_codec, quality
+from . import byte_repeats, chat, fingerprint, language, mixing, near_copies, piece_codec, quality, word_repeats
 from .common import held_out, written
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -51,6 +51,11 @@ def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when repeated windows of 20 words go."""
+    return word_repeats.cut_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1 formatted; figures and digests are read back from the formatted strings."""
     said = "</s>[INST] ok [/INST]"
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_repeats": op3_byte_repeats,
     "op4_mixing": op4_mixing,
     "op6_near_copies": op6_near_copies,
+    "op7_word_repeats": op7_word_repeats,
     "op8_chat_format": op8_chat_format,
     "op9_piece_codec": op9_piece_codec,
     "op10_language": op10_language,

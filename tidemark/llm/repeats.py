@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, with_field, written
 from .words import spread
 
 #: Stretches that a task gathers before it sends them; bytes of text that it looks at a time; bytes compared at a time.
@@ -49,16 +49,20 @@ def _once(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [*columns[:6], known]
 
 
-def _pack(docs: DataFrame) -> DataFrame:
+def _pack(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, packed, *carry): zstd of each text."""
+    schema = with_field(docs.select(*carry), ("doc_id", "bigint"), ("packed", "binary"))
+
     def run(batches):
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 data = [packer.compress((x or "").encode("utf-8", "surrogatepass")) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "packed"])
+                columns = [*(part.column(2 + k) for k in range(len(carry))), part.column(0).cast(pa.int64()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*carry, "doc_id", "packed"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, packed binary")
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, schema).select("doc_id", "packed", *carry)
 
 
 def _stretches(docs: DataFrame, stretches_of: Callable) -> DataFrame:
@@ -197,6 +201,6 @@ def covered(n: int, spans: list[dict] | None, width: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, packed, spans) of every row of docs; spans is null where nothing repeats."""
-    return _pack(docs).join(spans, "doc_id", "left").select("doc_id", "packed", "spans")
+def with_spans(docs: DataFrame, spans: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, packed, spans, *carry) of every row of docs; spans is null where nothing repeats."""
+    return _pack(docs, carry).join(spans, "doc_id", "left").select("doc_id", "packed", "spans", *carry)
