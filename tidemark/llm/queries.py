@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_repeats, chat, fingerprint, language, mixing, near_copies, piece_codec, quality, word_repeats
+from . import byte_repeats, chat, fingerprint, language, mixing, near_copies, near_vectors, piece_codec, quality, word_repeats
 from .common import held_out, written
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -46,6 +46,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(written(docs, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and group of every vector."""
+    return near_vectors.near_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of near copies of every document."""
     return near_copies.near_copies(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_byte_repeats": op3_byte_repeats,
     "op4_mixing": op4_mixing,
+    "op5_near_vectors": op5_near_vectors,
     "op6_near_copies": op6_near_copies,
     "op7_word_repeats": op7_word_repeats,
     "op8_chat_format": op8_chat_format,
