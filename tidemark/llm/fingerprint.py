@@ -139,9 +139,8 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
 
     out = written(dealt.mapInArrow(follow, _RESULT), "neighbours")
     firsts = out.where("kind = 'first'").select("part", F.col("packed").alias("next_packed"))
-    parts = firsts.select("part")
-    order = parts.crossJoin(parts.agg(F.min("part").alias("least"))).select(
-        "part", F.coalesce(F.lead("part").over(Window.orderBy("part")), "least").alias("next_part")
+    order = firsts.select(
+        "part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next_part")
     )
     lasts = out.where("kind = 'last'").drop("next_packed").join(order, "part").join(firsts.withColumnRenamed("part", "next_part"), "next_part").select(*_NAMES)
 
