@@ -141,7 +141,8 @@ def compare(keys, docs, starts, ns, anchors, contents) -> tuple[np.ndarray, np.n
         new = np.ones(len(who), bool)
         new[1:] = (run[1:] != run[:-1]) | (side[1:] != side[:-1])
         earliest = who[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        again = np.flatnonzero(~new)
+        place = starts + anchors
+        again = np.flatnonzero(~new & ((docs[who] != docs[earliest]) | (place[who] != place[earliest])))
         if len(again):
             x, y = anchor[who[again]] - left, anchor[earliest[again]] - left
             good = _equal(data, x, y)

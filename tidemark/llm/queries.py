@@ -118,6 +118,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": r"""
+WITH s AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5('mix' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
+w AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
+    CAST(sum(source_size) OVER () AS BIGINT) AS total FROM src),
+f AS (
+  SELECT *, (CAST(1.5 AS DOUBLE) * total - coalesce(CAST(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0))
+    / CAST(sum(weight) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level FROM w),
+t AS (
+  SELECT source, source_size, total, least(CAST(2 * source_size AS DOUBLE),
+    coalesce(max(CASE WHEN level * weight < 2 * source_size THEN level END) OVER () * weight, CAST(2 * source_size AS DOUBLE))) AS target,
+    CAST(least(4096, greatest(16, total // 1048576)) AS BIGINT) AS block,
+    CAST(least(4096, ceil((source_size + 1) / CAST(1048576 AS DOUBLE))) AS BIGINT) AS shards FROM f),
+a0 AS (SELECT *, CAST(round(sum(target) OVER () / block) AS BIGINT) AS seats, sum(target) OVER () AS v FROM t),
+a1 AS (SELECT *, CAST(CASE WHEN v > 0 THEN floor(target * seats / v + 0.5) ELSE 0 END AS BIGINT) AS q FROM a0),
+a2 AS (SELECT *, CASE WHEN v > 0 THEN CAST(seats - sum(q) OVER () AS BIGINT) ELSE 0 END AS d FROM a1),
+a3 AS (SELECT *, unnest(range(0, CAST(ceil(abs(d) * (q + 1) / greatest(seats, 1)) AS BIGINT) + 3)) AS j FROM a2 WHERE d <> 0),
+a4 AS (
+  SELECT source, d, row_number() OVER (ORDER BY CASE WHEN d > 0 THEN -target / (2 * (q + j) + 1) ELSE target / (2 * (q - j) - 1) END, source NULLS LAST) AS n
+  FROM a3 WHERE d > 0 OR q > j),
+a5 AS (SELECT source, CAST(sum(sign(d)) AS BIGINT) AS won FROM a4 WHERE n <= abs(d) GROUP BY source),
+plan AS (SELECT a2.source, source_size, target, block, shards, q + coalesce(won, 0) AS source_blocks FROM a2 LEFT JOIN a5 ON a2.source IS NOT DISTINCT FROM a5.source),
+r AS (
+  SELECT doc_id, size, h, plan.*, CAST('0x' || substr(h, 1, 8) AS BIGINT) % shards AS shard
+  FROM s JOIN plan ON s.source IS NOT DISTINCT FROM plan.source),
+b0 AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size, any_value(source_blocks) AS seats FROM r GROUP BY source, shard),
+b1 AS (SELECT *, CAST(sum(shard_size) OVER (PARTITION BY source) AS BIGINT) AS v FROM b0),
+b2 AS (SELECT *, CAST(CASE WHEN v > 0 THEN floor(CAST(shard_size * seats AS DOUBLE) / v + 0.5) ELSE 0 END AS BIGINT) AS q FROM b1),
+b3 AS (SELECT *, CASE WHEN v > 0 THEN CAST(seats - sum(q) OVER (PARTITION BY source) AS BIGINT) ELSE 0 END AS d FROM b2),
+b4 AS (SELECT *, unnest(range(0, CAST(ceil(abs(d) * (q + 1) / greatest(seats, 1)) AS BIGINT) + 3)) AS j FROM b3 WHERE d <> 0),
+b5 AS (
+  SELECT source, shard, d, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN d > 0 THEN -shard_size / (2 * (q + j) + 1) ELSE shard_size / (2 * (q - j) - 1) END, shard) AS n
+  FROM b4 WHERE d > 0 OR q > j),
+b6 AS (SELECT source, shard, CAST(sum(sign(d)) AS BIGINT) AS won FROM b5 WHERE n <= abs(d) GROUP BY source, shard),
+sh AS (
+  SELECT b3.source, b3.shard, shard_size, q + coalesce(won, 0) AS quota
+  FROM b3 LEFT JOIN b6 ON b3.source IS NOT DISTINCT FROM b6.source AND b3.shard = b6.shard),
+x AS (
+  SELECT r.*, shard_size, quota, greatest(CAST(ceil(shard_size / block) AS BIGINT), 1) AS steps,
+    CAST(sum(size) OVER (PARTITION BY r.source, r.shard ORDER BY substr(h, 9), doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS place
+  FROM r JOIN sh ON r.source IS NOT DISTINCT FROM sh.source AND r.shard = sh.shard),
+y AS (
+  SELECT *, least(quota, 2 * steps) // steps AS passes, least(quota, 2 * steps) % steps AS chosen,
+    length(coalesce(source, '')) + 7 * shard AS shift FROM x),
+z AS (SELECT *, CASE WHEN size > 0 THEN range(place // block, (place + size - 1) // block + 1) ELSE [] END AS js FROM y)
+SELECT doc_id, size, source_size, target,
+  CAST(passes * size + coalesce(list_sum(list_transform(js, lambda j: CASE WHEN (j * (2147483647 % steps) + shift) % steps < chosen
+    THEN least(place + size, (j + 1) * block) - greatest(place, j * block) ELSE 0 END)), 0) AS BIGINT) AS taken
+FROM z""",
     "op8_chat_format": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

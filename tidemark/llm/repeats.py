@@ -42,11 +42,14 @@ def _once(columns: list[np.ndarray]) -> list[np.ndarray]:
         order = np.lexsort((start, doc))
     both = spread(key.view(np.uint64)) ^ tag.view(np.uint64)
     order = order[np.argsort(both[order], kind="stable")]
-    again = np.zeros(len(order), bool)
-    again[1:] = both[order[1:]] == both[order[:-1]]
+    new = np.ones(len(order), bool)
+    new[1:] = both[order[1:]] != both[order[:-1]]
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
     known = np.zeros(len(order), bool)
-    known[order] = again
-    return [*columns[:6], known]
+    known[order] = ~new & ((doc[order] != doc[head]) | (start[order] != start[head]))  # a repeated row repeats nothing
+    # what is known need not meet the others: it is dealt anywhere
+    key = np.where(known, spread(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)).view(np.int64), key)
+    return [key, *columns[1:6], known]
 
 
 def _pack(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -113,15 +116,15 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_tag[1:] = new_key[1:] | (tag[1:] != tag[:-1])
         group = np.cumsum(new_key) - 1
         several = (np.bincount(group, new_tag) > 1)[group]
-        later = ~new_tag & ~told
+        first = np.flatnonzero(new_tag)[np.cumsum(new_tag) - 1]
+        later = ~new_tag & ~told & ((rows[2] != rows[2][first]) | (rows[3] != rows[3][first]))
         firsts = new_tag & several & ~told
         yield _record([*(c[later] for c in rows[:6]), np.ones(int(later.sum()), bool)])
         yield _record([*(c[firsts] for c in rows[:6]), np.zeros(int(firsts.sum()), bool)])
-        head, tail = np.flatnonzero(new_key)[-1], len(key) - 1
+        head = np.flatnonzero(new_key)[-1]
         told = told | firsts | ~new_tag
         keep = np.unique([head, np.flatnonzero(new_tag)[-1]])
         carry = [c[keep] for c in rows[:7]] + [told[keep] | (keep != head)]
-        del tail
 
 
 def repeated_starts(docs: DataFrame, stretches_of: Callable, content_of: Callable, compare: Callable) -> DataFrame:

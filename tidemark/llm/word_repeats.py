@@ -143,7 +143,7 @@ def compare(keys, docs, starts, ns, anchors, contents) -> tuple[np.ndarray, np.n
     new = np.ones(len(row), bool)
     new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    again = np.flatnonzero(~new)
+    again = np.flatnonzero(~new & ((docs[row] != docs[row[head]]) | (starts[row] + offset != (starts[row] + offset)[head])))
     raw = data.tobytes()
     a, b = first[place], last[place + WINDOW - 1]
     other: dict[int, set[bytes]] = {}
