@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 ENTRY = T.StructType().add("key", T.StringType(), False).add("val", T.StringType()).add("tombstone", T.BooleanType(), False)
-MUTATION = T.StructType(ENTRY.fields).add("seq", T.LongType(), False)
-TABLE = T.StructType(ENTRY.fields).add("file_number", T.LongType(), False).add("level", T.IntegerType(), False).add("seq", T.LongType(), False)
+MUTATION = T.StructType(list(ENTRY.fields)).add("seq", T.LongType(), False)
+TABLE = T.StructType(list(ENTRY.fields)).add("file_number", T.LongType(), False).add("level", T.IntegerType(), False).add("seq", T.LongType(), False)
 MANIFEST = (
     T.StructType()
     .add("file_number", T.LongType(), False)
