@@ -161,6 +161,16 @@ def test_codec_bytes_and_damage(spark):
         codec.decode_entries(b"\x00\x00\x00\x09a" + b"\x00" * 16)
 
 
+def test_files_on_disk(spark, tmp_path):
+    (tmp_path / "wal-7").write_bytes(bytes.fromhex("0001000000010000006131" + "01010000000000000061") + b"\x00\x01")
+    assert [tuple(r) for r in codec.open_log(spark, str(tmp_path / "wal-*")).orderBy("place").collect()] == [("a", "1", False, 7, 0), ("a", None, True, 7, 1)]
+    one = spark.createDataFrame([("a", "1", False, 2, 0, 1), ("b", None, True, 2, 0, 5)], TABLE)
+    for version in (1, 2):
+        (tmp_path / f"table-{version}").write_bytes(codec.encoded_tables(one, version).first()["content"])
+        rows = codec.open_tables(spark, str(tmp_path / f"table-{version}"), version).orderBy("key").collect()
+        assert [(r["key"], r["val"], r["tombstone"], r["ts"]) for r in rows] == [("a", "1", False, 5), ("b", None, True, 5)]
+
+
 def test_multi_get(spark):
     rows = spark.createDataFrame([("a", "1", False, 0, 1, 0), ("b", "2", False, 0, 1, 1), ("b", None, True, 1, 0, 2)], TABLE)
     keys = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")

@@ -26,6 +26,11 @@ def load(spark: SparkSession, n: int, size: int = 64) -> DataFrame:
     return first.unionByName(again).unionByName(gone)
 
 
+def shuffled_keys(spark: SparkSession, n: int, seed: int = 1337) -> DataFrame:
+    """The keys key-0 to key-(n-1) in a seeded order."""
+    return spark.range(n).orderBy(F.rand(seed)).select(F.concat(F.lit("key-"), F.col("id").cast("string")).alias("key"))
+
+
 def payload(log: DataFrame) -> DataFrame:
     """Mutations and bytes of keys and values."""
     return log.agg(F.count("*").alias("ops"), F.sum(F.octet_length("key") + F.coalesce(F.octet_length("val"), F.lit(0))).cast("long").alias("bytes"))

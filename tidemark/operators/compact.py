@@ -67,3 +67,14 @@ def cascade(tables: DataFrame, bottom: int, gc: bool = False) -> DataFrame:
 def oldest(manifest: DataFrame) -> DataFrame:
     """The table that a partial compaction takes first."""
     return manifest.orderBy("ts_ms", "file_number").limit(1)
+
+
+def compact_oldest(tables: DataFrame, level: int) -> DataFrame:
+    """Entries of the one table that replaces the oldest table of `level` and those of the next level that overlap it."""
+    manifest = metadata(tables)
+    first = oldest(manifest.where(F.col("level") == level))
+    probe = first.select(F.lit(0).alias("probe"), F.col("min_key").alias("lo"), F.col("max_key").alias("hi"))
+    below = overlapping(manifest.where(F.col("level") == level + 1), probe).select("file_number")
+    taken = first.select("file_number").unionByName(below).withColumn("grp", F.lit(1).cast("long"))
+    pair = tables.where(F.col("level").isin(level, level + 1))
+    return merged(pair.join(taken, "file_number")).drop("grp")

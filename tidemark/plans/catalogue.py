@@ -242,6 +242,18 @@ def oldest_table(spark: SparkSession, d: str) -> DataFrame:
     return compact.oldest(flush.metadata(mix_tables(spark, d)))
 
 
+@query(
+    """, top AS (SELECT * FROM manifest WHERE level = 0 ORDER BY ts_ms, file_number LIMIT 1),
+taken AS (SELECT file_number FROM top UNION ALL SELECT m.file_number FROM manifest m, top WHERE m.level = 1 AND m.min_key <= top.max_key AND m.max_key >= top.min_key),
+one AS (SELECT key, arg_max({'val': val, 'tombstone': tombstone, 'seq': seq}, -level * 1000000000 + file_number) AS e FROM mix WHERE file_number IN (SELECT file_number FROM taken) GROUP BY key)
+SELECT key, e.val AS val, e.tombstone AS tombstone, e.seq AS seq FROM one""",
+    "mix",
+    "groups",
+)
+def compact_oldest(spark: SparkSession, d: str) -> DataFrame:
+    return compact.compact_oldest(mix_tables(spark, d), 0)
+
+
 @query("SELECT file_number, level, ts_ms, min_key, max_key, n_entries FROM manifest WHERE file_number NOT IN (SELECT file_number FROM manifest WHERE level = 0)", "mix", "groups")
 def drop_tables(spark: SparkSession, d: str) -> DataFrame:
     manifest = flush.metadata(mix_tables(spark, d))
@@ -378,6 +390,11 @@ def workload_latest(spark: SparkSession, d: str) -> DataFrame:
     return resolve.live(resolve.latest_by_agg(_load(spark, d))).select("key", "val")
 
 
+@query("WITH n AS (SELECT count(*) AS n FROM part) SELECT 'key-' || i AS key FROM n, range(CAST(n.n AS BIGINT)) t(i)")
+def workload_shuffled_keys(spark: SparkSession, d: str) -> DataFrame:
+    return workload.shuffled_keys(spark, read(spark, d, "part").count())
+
+
 @query(f"WITH {_LOAD} SELECT count(*) AS ops, CAST(sum(octet_length(encode(key)) + coalesce(octet_length(encode(val)), 0)) AS BIGINT) AS bytes FROM log")
 def throughput_bytes(spark: SparkSession, d: str) -> DataFrame:
     return workload.payload(_load(spark, d))

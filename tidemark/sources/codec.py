@@ -125,3 +125,14 @@ def read_log(files: DataFrame, segment: str = "segment") -> DataFrame:
                 yield pd.DataFrame(rows, columns=["key", "val", "tombstone"]).assign(segment=name, place=range(len(rows)))
 
     return files.select(segment, "content").mapInPandas(run, "key string, val string, tombstone boolean, segment bigint, place bigint")
+
+
+def open_tables(spark, path: str, version: int = 2) -> DataFrame:
+    """Entries of all table files at a path or glob; a missing, empty or cut-off file raises."""
+    return read_tables(spark.read.format("binaryFile").load(path), version)
+
+
+def open_log(spark, path: str) -> DataFrame:
+    """Records of all log files wal-<id> at a path or glob; segment is the id."""
+    files = spark.read.format("binaryFile").load(path)
+    return read_log(files.withColumn("segment", F.regexp_extract("path", r"wal-(\d+)$", 1).cast("long")))
