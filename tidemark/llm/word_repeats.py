@@ -108,7 +108,8 @@ def stretches_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     symbol, d, start = symbol[begin], doc[begin], place[begin]
     sums = _prefix(words)
     tag = spread(_range_hash(sums, start, start + n - 1 + WINDOW) + n.astype(np.uint64))
-    key = spread(names[symbol] + level[symbol].astype(np.uint64))
+    # the words that the symbol depends on are in the window too: with them, an anchor's name is rarely met by chance
+    key = spread(names[symbol] + level[symbol].astype(np.uint64) + _range_hash(sums, low[symbol], high[symbol]))
     return key, tag, d, start - at[:-1][d], n, low[symbol] - start
 
 
