@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
-Every step sums per node first and joins the sums back, so that a node with very many links is never one task's group;
-each round's links are written to the shared folder. The driver sees a count and a checksum per round.
+Every step sums per node first and joins the sums back, so that a node with very many links is never one task's group: the
+sums are written to the shared folder first, which leaves plain exchanges that Spark can split. So are a round's links. The driver sees a count and a checksum per round.
 """
 
 from __future__ import annotations
@@ -26,10 +26,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while before != (now := _state(links)):
         before = now
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = large.where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "links")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
     rows = links.select(F.col("u").alias("node"), F.col("v").alias("component"))

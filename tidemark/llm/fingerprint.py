@@ -95,7 +95,8 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     hashed = written(fingerprints(docs, drop=("text",)), "digests")
-    shared = hashed.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
+    # written, so that the join's two sides are plain exchanges, of which Spark can split a hot one
+    shared = written(hashed.groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "shared")
     marked = hashed.join(shared, "fingerprint", "left_semi").select("doc_id").distinct()
 
     def pack(batches):
