@@ -6,9 +6,10 @@ with places below w. The smallest point of each register is the signature; regis
 probability equal to their weighted Jaccard similarity. Points come in increasing order and stop at the document's
 largest register, so that long documents look at about one point per shingle.
 
-Search. Documents of equal bands share a bucket. In each bucket, documents are compared with one seeded leader per
-component found so far; after these rounds, what still shares a bucket across components is compared pair by pair, so
-that no link between different texts is lost. Every link is verified on the exact multisets.
+Search. Documents that share a band, directly or through others, are a family. A family's documents meet as chunks: every
+pair of chunks is one group in which all overlaps of shingle multisets are counted exactly, as a product of incidence
+matrices, so that every link is verified and no pair leaves a task; spanning links do. A family of one chunk is one group;
+a larger one is cut by size first, as similar documents have similar sizes, and chunks of far sizes never meet.
 """
 
 from __future__ import annotations
@@ -27,10 +28,8 @@ from .words import joined, spread, word_hashes, word_spans
 WIDTH, LEAST = 5, 0.8
 #: A pair of similarity 0.8 shares no band with a probability of 7e-6.
 BANDS, ROWS = 30, 5
-#: Rounds with one leader per component of a bucket, before pair by pair.
-LEADER_ROUNDS = 2
-#: Pairs of one document that are verified in one group; bytes of text that a task signs at a time.
-GROUP, BLOCK = 512, 1_500_000
+#: Documents and shingles of a chunk; shingles that are multiplied at a time; bytes of text that a task signs at a time.
+CHUNK, CHUNK_SHINGLES, COLUMNS, BLOCK = 1000, 400_000, 4096, 1_500_000
 
 
 def shingles(texts: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +79,7 @@ def signatures(doc: np.ndarray, value: np.ndarray, times: np.ndarray, n_texts: i
     step = 0
     while len(row):
         step += 1
-        u = spread(seed + np.uint64(step) * np.uint64(0xA0761D6478BD642F))
+        u = spread(seed + np.uint64(step * 0xA0761D6478BD642F % (1 << 64)))
         x = x - np.log1p(-(u >> np.uint64(11)).astype(float) * 2.0**-53) / rate
         u = spread(u ^ np.uint64(0xE7037ED1A0B428DB))
         place = low + (u >> np.uint64(40)).astype(float) * 2.0**-24 * rate
@@ -125,32 +124,102 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, content string, n_shingles bigint, bands array<bigint>")
 
 
-def similar_pairs(pairs: DataFrame, packed: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (a, b) whose exact weighted Jaccard similarity is at least `least`. packed: (doc_id, packed), zstd of the
-    texts of all ids in pairs. Each group holds one document a and at most about GROUP partners, one at a time in memory."""
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    ones = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).join(packed, F.col("a") == F.col("doc_id"))
-    others = pairs.join(groups, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups"))).join(packed, F.col("b") == F.col("doc_id"))
-    rows = ones.select("a", "salt", F.lit(None).cast("long").alias("b"), "packed").unionByName(others.select("a", "salt", "b", "packed"))
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+def overlaps(sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Exact multiset overlaps of sets (hashes, multiplicities) `left` by `right`. The copies of a shingle are columns of
+    their own, so that a product of incidences sums the smaller multiplicities; columns of one document are left out."""
+    doc = np.repeat(np.arange(len(sets)), [int(t.sum()) for _, t in sets])
+    value = np.concatenate([np.repeat(v, t) for v, t in sets])
+    copy = np.concatenate([np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t) for _, t in sets]).astype(np.uint64)
+    _, column, met = np.unique(spread(value + copy * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+    shared = met[column] > 1
+    number = np.cumsum(met > 1) - 1
+    doc, column = doc[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - at)), np.float32)
+        part[doc[a:b], column[a:b] - at] = 1
+        total += part[left] @ part[right].T
+    return total
 
-    def run(batches):
+
+def _spanning(node: np.ndarray, other: np.ndarray, size: int) -> np.ndarray:
+    """The smallest number that each of `size` nodes reaches by the links."""
+    label = np.arange(size)
+    while True:
+        before = label.copy()
+        least = np.minimum(label[node], label[other])
+        np.minimum.at(label, node, least)
+        np.minimum.at(label, other, least)
+        np.minimum.at(label, before, label)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+_GROUP = ["family", "low", "high", "i", "j"]
+
+
+def family_links(rows: DataFrame, least: float = LEAST) -> DataFrame:
+    """Spanning links (a, b) of the verified links in each group of (family, low, high, i, j, side, doc_id, packed): side 0
+    against side 1, or, where there is only side 0, all pairs."""
+
+    def links(ids: list[int], sides: list[int], data: list[bytes]):
         unpack = zstandard.ZstdDecompressor().decompress
-        own = own_times = None
+        doc, value, times, count = shingles([unpack(x) for x in data])
+        at = np.searchsorted(doc, np.arange(len(ids) + 1))
+        sets = [(value[x:y], times[x:y]) for x, y in zip(at, at[1:])]
+        side = np.array(sides)
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        both = overlaps(sets, left, right)
+        i, j = np.nonzero((both > 0) & (both >= least * (count[left][:, None] + count[right][None] - both) - 1e-3))
+        i, j, n = left[i], right[j], both[i, j].astype(np.int64)
+        good = (i != j) & (n >= least * (count[i] + count[j] - n))
+        label = _spanning(i[good], j[good], len(ids))
+        return [(ids[k], ids[m]) for k, m in enumerate(label.tolist()) if k != m]
+
+    def run(batches):
+        held: list[tuple] = []
+        current = None
+
+        def told():
+            found = links(*map(list, zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
         for batch in batches:
-            found = []
-            for a, b, data in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                _, value, times, _ = shingles([unpack(data)])
-                if b is None:
-                    own, own_times = value, times
-                    continue
-                _, i, j = np.intersect1d(own, value, assume_unique=True, return_indices=True)
-                both = int(np.minimum(own_times[i], times[j]).sum())
-                if both and both >= least * (int(own_times.sum()) + int(times.sum()) - both):
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:5] != current and held:
+                    yield told()
+                    held.clear()
+                current = row[:5]
+                held.append((row[6], row[5], row[7]))
+        if held:
+            yield told()
+
+    dealt = rows.select(*_GROUP, "side", "doc_id", "packed").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+def _groups(members: DataFrame, least: float) -> DataFrame:
+    """Where each of (doc_id, family, n_shingles) goes: (doc_id, family, low, high, i, j, side)."""
+    chunks = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int")
+    sizes = members.groupBy("family").agg(chunks.alias("all"))
+    slot = F.when(F.col("all") > 1, F.floor(F.log("n_shingles") / float(np.log(1 / least)))).otherwise(0).cast("int")
+    rows = members.join(written(sizes, "families"), "family").withColumn("slot", slot).select("doc_id", "family", "slot", "n_shingles")
+    counts = written(rows.groupBy("family", "slot").agg(chunks.alias("chunks")), "slots")
+    after = counts.select("family", (F.col("slot") - 1).alias("slot"), F.col("chunks").alias("after"))
+    before = counts.select("family", (F.col("slot") + 1).alias("slot"), F.col("chunks").alias("before"))
+    around = counts.join(after, ["family", "slot"], "left").join(before, ["family", "slot"], "left")
+    rows = rows.join(written(around, "slots"), ["family", "slot"]).withColumn("c", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    own, other = F.col("slot"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    same = rows.select("doc_id", "family", own.alias("low"), own.alias("high"), "c", other("chunks").alias("d"))
+    same = same.select("doc_id", "family", "low", "high", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), F.when(F.col("c") <= F.col("d"), 0).otherwise(1).alias("side"))
+    up = rows.where("after IS NOT NULL").select("doc_id", "family", own.alias("low"), (own + 1).alias("high"), F.col("c").alias("i"), other("after").alias("j"), F.lit(0).alias("side"))
+    down = rows.where("before IS NOT NULL").select("doc_id", "family", (own - 1).alias("low"), own.alias("high"), other("before").alias("i"), F.col("c").alias("j"), F.lit(1).alias("side"))
+    return same.unionByName(up).unionByName(down)
 
 
 def _pack(docs: DataFrame) -> DataFrame:
@@ -168,49 +237,20 @@ def _pack(docs: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, component_id, kept): the smallest doc_id that is reached by links of similarity `least` or more, one row
     per row of (doc_id, text). Documents without words (null, empty, blank) link with nothing; equal texts always link;
-    a null doc_id is kept in no group; an empty table gives no rows. Extra columns are ignored."""
+    a doc_id stands for one text; rows without one are kept; an empty table gives no rows. Extra columns are ignored."""
     sig = written(signed(docs), "signatures")
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    firsts = full.groupBy("content").agg(F.min("doc_id").alias("first"))
-    joined_ = full.select("doc_id", "content").join(firsts, "content")
-    copies = joined_.where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    firsts = written(full.groupBy("content").agg(F.min("doc_id").alias("first")), "firsts")
     single = full.join(firsts.select(F.col("first").alias("doc_id"), "content"), ["doc_id", "content"], "left_semi")
-    rows = single.select("doc_id", "n_shingles", F.explode("bands").alias("band")).distinct()
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    rows = written(rows.join(shared, "band", "left_semi"), "buckets")
-    packed = written(_pack(docs).join(rows.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
-
-    close = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b")
-    links = None
-    tried = None
-    labelled = rows.withColumn("component", F.col("doc_id"))
-    for k in range(LEADER_ROUNDS + 1):
-        open_ = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-        mine = labelled.join(open_, "band", "left_semi")
-        if k < LEADER_ROUNDS:
-            order = F.struct(F.xxhash64(F.lit(k), "component"), F.xxhash64(F.lit(k), "doc_id"), "doc_id", "component", "n_shingles")
-            leader = mine.groupBy("band").agg(F.min(order).alias("l")).select("band", F.col("l.doc_id").alias("a"), F.col("l.component").alias("c_a"), F.col("l.n_shingles").alias("n_a"))
-            pairs = mine.select("band", F.col("doc_id").alias("b"), F.col("component").alias("c_b"), F.col("n_shingles").alias("n_b")).join(leader, "band").where("c_a != c_b")
-        else:
-            left = mine.select("band", F.col("doc_id").alias("a"), F.col("component").alias("c_a"), F.col("n_shingles").alias("n_a"))
-            right = mine.select("band", F.col("doc_id").alias("b"), F.col("component").alias("c_b"), F.col("n_shingles").alias("n_b"))
-            pairs = left.join(right, "band").where("c_a < c_b")
-        pairs = pairs.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if pairs.isEmpty():
-            continue
-        found = written(similar_pairs(pairs, packed, least), "links")
-        links = found if links is None else links.unionByName(found)
-        part = components(links)
-        if k < LEADER_ROUNDS:
-            labelled = written(
-                rows.join(part, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")), "labelled"
-            )
-    every = copies if links is None else copies.unionByName(links)
-    part = components(every)
-    return sig.join(part, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id",
-        F.coalesce("component", "doc_id").alias("component_id"),
-        (F.col("component").isNull() | (F.col("component") == F.col("doc_id"))).alias("kept"),
-    )
+    rows = single.select("doc_id", F.explode("bands").alias("band"))
+    heads = written(rows.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head"), "buckets")
+    met = rows.join(heads, "band").where("doc_id != head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
+    families = components(met).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    members = written(families.join(single.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id"), "members")
+    packed = _pack(docs).join(members.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    links = written(family_links(_groups(members, least).join(packed, "doc_id"), least), "links")
+    part = components(links)
+    own = full.select("doc_id", "content").join(firsts, "content").groupBy("doc_id").agg(F.min("first").alias("first"))
+    out = sig.select("doc_id").join(own, "doc_id", "left").join(part, F.col("first") == F.col("node"), "left")
+    component = F.coalesce("component", "first", "doc_id")
+    return out.select("doc_id", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
