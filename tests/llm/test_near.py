@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -41,6 +42,36 @@ def test_near_copies_against_brute_force(documents, corpus):
     assert all(r["kept"] == (r["component_id"] == r["doc_id"]) for r in got) and len(got) == len(corpus)
 
 
+def test_large_families_are_cut(spark, monkeypatch):
+    """A family of many chunks gives what brute force does."""
+    monkeypatch.setattr(near_copies, "CHUNK", 4)
+    draw = random.Random(2)
+    base = [f"b{k}" for k in range(160)]
+    rows = []
+    for k in range(40):
+        words = base[: draw.choice((100, 130, 160))]
+        for _ in range(draw.randint(0, 4)):
+            words[draw.randrange(len(words))] = f"x{draw.random()}"
+        rows.append((k, " ".join(words)))
+    sets = {k: shingle_counts(t) for k, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.8]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == grouped(sets, links)
+    assert 1 < len({r["component_id"] for r in got}) < 30
+
+
+def test_overlaps():
+    texts = [b"a b c d e f g h", b"a b c d e f g x", b"a b c d e a b c d e a b c d e", b"a b c d e a b c d e"]
+    doc, value, times, _ = near_copies.shingles(texts)
+    sets = [(value[doc == k], times[doc == k]) for k in range(4)]
+    got = near_copies.overlaps(sets, np.arange(4), np.arange(1, 4))
+    counts = [shingle_counts(t.decode()) for t in texts]
+    for i in range(4):
+        for j in range(1, 4):
+            if i != j:
+                assert got[i, j - 1] == sum((counts[i] & counts[j]).values())
+
+
 def test_near_copies_without_rows(empty, spark):
     assert near_copies.near_copies(empty).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id bigint, text string")
@@ -65,13 +96,13 @@ def test_components(spark):
 def test_vectors_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "CHUNK", 16)
     rng = np.random.default_rng(3)
-    base = rng.normal(size=(12, 24))
+    base = rng.normal(size=(12, 64))
     rows = []
     for k in range(220):
-        v = base[k % 12] + rng.normal(size=24) * (0.02 + 0.02 * (k % 9))
+        v = base[k % 12] + rng.normal(size=64) * (0.02 + 0.02 * (k % 9))
         rows.append((k, [float(x) for x in v], k % 2))
     rows += [(300 + k, rows[0][1], 0) for k in range(20)]
-    rows += [(400, None, 0), (401, [0.0] * 24, 0), (402, [float("nan")] * 24, 0), (403, [None] * 24, 0), (404, rows[0][1], None), (405, [], 0), (406, [2 * x for x in rows[0][1]], 0), (407, [1.0, 2.0], 0)]
+    rows += [(400, None, 0), (401, [0.0] * 64, 0), (402, [float("nan")] * 64, 0), (403, [None] * 64, 0), (404, rows[0][1], None), (405, [], 0), (406, [2 * x for x in rows[0][1]], 0), (407, [1.0, 2.0], 0)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumn("raw", F.lit(1))
     ok = {i: np.array(v) / np.linalg.norm(v) for i, v, label in rows if label is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     label = {r[0]: r[2] for r in rows}
