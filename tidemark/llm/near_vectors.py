@@ -23,8 +23,10 @@ from .components import components
 
 LEAST = 0.98
 #: Dimensions of a block, tile width in radii, vectors of a tile's chunk.
-BLOCK_DIMS, TILE_RADII, CHUNK = 8, 3.0, 2048
+BLOCK_DIMS, TILE_RADII, CHUNK = 16, 3.0, 2048
 _SLACK = 1e-9
+#: Sides of a chunk pair that a row takes.
+LEFT, RIGHT, BOTH = 0, 1, 2
 
 
 def rotation(dims: int, seed: int = 11) -> np.ndarray:
@@ -38,13 +40,15 @@ def blocks(dims: int) -> list[slice]:
 
 
 def _units(raw: list[bytes], dims: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dims)
+    kind = np.float32 if len(raw[0]) == 4 * dims else np.float64
+    x = np.frombuffer(b"".join(raw), kind).reshape(-1, dims).astype(np.float64)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, dims, raw): raw holds the components as doubles, scaled against over- and underflow by a power of
-    two; dims is 0 for vectors that can link with nothing."""
+    """(vec_id, label, dims, raw): raw holds the components as they are, or, doubles, scaled against over- and underflow by a
+    power of two; dims is 0 for vectors that can link with nothing."""
+    single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
 
     def run(batches):
         for batch in batches:
@@ -57,6 +61,8 @@ def prepared(vectors: DataFrame) -> DataFrame:
                     x = values.to_numpy(zero_copy_only=False).astype(np.float64)
                     if not np.isfinite(x).all() or not x.any():
                         x = np.zeros(0)
+                    elif single:
+                        x = (x + 0.0).astype(np.float32)
                     else:
                         x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])) + 0.0
                 dims.append(len(x))
@@ -73,7 +79,7 @@ _PLACES = [p.split()[0] for p in _PLACE.split(", ")]
 
 
 def _tiles(distinct: DataFrame, least: float) -> DataFrame:
-    """Every place of every distinct vector: a home per block, visits next to it. own_x, own_y: the home."""
+    """Every place of every distinct vector: a home per block, visits to earlier tiles next to it. own_x, own_y: the home."""
 
     def run(batches):
         for batch in batches:
@@ -87,29 +93,28 @@ def _tiles(distinct: DataFrame, least: float) -> DataFrame:
                     if c.shape[1] < 2:
                         c = np.hstack([c, np.zeros((len(c), 1))])
                     own = np.floor(c / (TILE_RADII * radius)).astype(np.int64)
-                    for dx in (-1, 0, 1):
-                        for dy in (-1, 0, 1):
-                            tile = own + (dx, dy)
-                            low, high = tile * TILE_RADII * radius - radius, (tile + 1) * TILE_RADII * radius + radius
-                            k = np.flatnonzero(((c >= low) & (c <= high)).all(axis=1))
-                            if not len(k):
-                                continue
-                            at = who[k]
-                            yield pa.RecordBatch.from_arrays(
-                                [
-                                    pa.array([label[i] for i in at], pa.int64()),
-                                    pa.array(np.full(len(k), dims, np.int32)),
-                                    pa.array(np.full(len(k), b, np.int32)),
-                                    pa.array(tile[k, 0].astype(np.int32)),
-                                    pa.array(tile[k, 1].astype(np.int32)),
-                                    pa.array(own[k, 0].astype(np.int32)),
-                                    pa.array(own[k, 1].astype(np.int32)),
-                                    pa.array([first[i] for i in at], pa.int64()),
-                                    pa.array([n[i] for i in at], pa.int64()),
-                                    pa.array([raw[i] for i in at], pa.binary()),
-                                ],
-                                names=[*_PLACES, "own_x", "own_y", "first", "n", "raw"],
-                            )
+                    for step in ((0, 0), (0, -1), (-1, -1), (-1, 0), (-1, 1)):  # a pair across tiles counts in the first of them
+                        tile = own + step
+                        low, high = tile * TILE_RADII * radius - radius, (tile + 1) * TILE_RADII * radius + radius
+                        k = np.flatnonzero(((c >= low) & (c <= high)).all(axis=1))
+                        if not len(k):
+                            continue
+                        at = who[k]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([label[i] for i in at], pa.int64()),
+                                pa.array(np.full(len(k), dims, np.int32)),
+                                pa.array(np.full(len(k), b, np.int32)),
+                                pa.array(tile[k, 0].astype(np.int32)),
+                                pa.array(tile[k, 1].astype(np.int32)),
+                                pa.array(own[k, 0].astype(np.int32)),
+                                pa.array(own[k, 1].astype(np.int32)),
+                                pa.array([first[i] for i in at], pa.int64()),
+                                pa.array([n[i] for i in at], pa.int64()),
+                                pa.array([raw[i] for i in at], pa.binary()),
+                            ],
+                            names=[*_PLACES, "own_x", "own_y", "first", "n", "raw"],
+                        )
 
     return distinct.select("label", "dims", "first", "n", "raw").mapInArrow(run, f"{_PLACE}, own_x int, own_y int, first bigint, n bigint, raw binary")
 
@@ -156,18 +161,13 @@ def _tile_links(rows: DataFrame, least: float) -> DataFrame:
         budgets = np.array([(2 - 2 * least) * (p.stop - p.start) / dims for p in parts]) + _SLACK
         turned = rotation(dims)
         z = _units(raw, dims) @ turned
-        lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        lefts, rights = np.flatnonzero(side != RIGHT), np.flatnonzero(side != LEFT)
         if not len(lefts) or not len(rights):
             return
-        home = np.array([key[3], key[4]])
-        where = np.stack(own, axis=1)
-        at_home = (where[rights] == home).all(axis=1)
-        later = (where[rights, 0] > home[0]) | ((where[rights, 0] == home[0]) & (where[rights, 1] > home[1]))
+        visits = (own[0][rights] != key[3]) | (own[1][rights] != key[4])
 
-        def allowed(a, e):  # two at home: once; a visitor: in the tile that comes first
-            ids = first[lefts[a:e], None]
-            both = at_home[None] & (ids < first[rights][None]) if key[5] == key[6] else np.broadcast_to(at_home[None] & (key[5] < key[6]), (e - a, len(rights)))
-            return both | later[None]
+        def allowed(a, e):  # two at home in one chunk: once
+            return visits[None] | (first[lefts[a:e], None] < first[rights][None]) if key[5] == key[6] else np.ones((e - a, len(rights)), bool)
 
         ids = np.unique(first)
         total = np.zeros(len(ids), np.int64)
@@ -223,9 +223,12 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     placed = places.join(crowd.where("crowd > 1 AND lived"), _PLACES).withColumn("c", F.pmod(F.xxhash64("first"), F.col("chunks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     home = (F.col("x") == F.col("own_x")) & (F.col("y") == F.col("own_y"))
-    lefts = placed.where(home).withColumn("i", F.col("c")).withColumn("j", every).withColumn("side", F.lit(0))
-    rights = placed.withColumn("j", F.col("c")).withColumn("i", every).where(~home | (F.col("i") <= F.col("j"))).withColumn("side", F.lit(1))
-    found = written(_tile_links(lefts.unionByName(rights), least), "vector-links")
+    # chunk pair (i, j): those at home in i against those at home in j (i <= j) and the visitors of j
+    both = placed.where(home).select("*", F.col("c").alias("i"), F.col("c").alias("j"), F.lit(BOTH).alias("side"))
+    lefts = placed.where(home & (F.col("chunks") > 1)).select("*", F.col("c").alias("i"), every.alias("j"), F.lit(LEFT).alias("side")).where("i != j")
+    rights = placed.where(~home | (F.col("chunks") > 1)).select("*", every.alias("i"), F.col("c").alias("j"), F.lit(RIGHT).alias("side"))
+    rights = rights.where(~home | (F.col("i") < F.col("j")))
+    found = written(_tile_links(both.unionByName(lefts).unionByName(rights), least), "vector-links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("more"))
     part = components(found.where("b IS NOT NULL").select("a", "b"))
     known = distinct.join(counts, "first", "left").join(part, F.col("first") == F.col("node"), "left").select(
