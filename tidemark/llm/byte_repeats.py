@@ -174,13 +174,14 @@ def _by_bytes(data: np.ndarray, at: np.ndarray, run: np.ndarray) -> np.ndarray:
     return np.array(again, np.int64)
 
 
-def cut_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def cut_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256) of each row of (doc_id, text): kept has the bytes that no
     100-byte string covers which also starts earlier (smaller doc_id, or earlier in the same document).
 
     Null texts are empty; texts of fewer than 100 bytes lose nothing. A doc_id stands for one text: repeated equal rows are
     one document and all get its result; null ids are one document before all others. An empty table gives no rows; other
     columns are ignored, but those in `carry` stay.
+    With as_text, kept is a string, without the parts of characters that the cuts left.
     """
     joined_rows = with_spans(docs, repeated_starts(docs, stretches_of, content_of, compare), carry)
 
@@ -195,11 +196,11 @@ def cut_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                     gone = covered(len(raw), spans, WIDTH)
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw
                     runs = int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=0) == 1))
-                    for o, v in zip(out, (len(raw), len(raw) - len(kept), runs, kept, hashlib.sha256(kept).hexdigest())):
+                    for o, v in zip(out, (len(raw), len(raw) - len(kept), runs, kept.decode("utf-8", "ignore") if as_text else kept, hashlib.sha256(kept).hexdigest())):
                         o.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(3 + k) for k in range(len(carry))), part.column(0), *(pa.array(o, k) for o, k in zip(out, kinds))], names=[*carry, "doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    schema = with_field(docs.select(*carry), ("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept", "binary"), ("kept_sha256", "string"))
+    schema = with_field(docs.select(*carry), ("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept", "string" if as_text else "binary"), ("kept_sha256", "string"))
     out = joined_rows.mapInArrow(cut, schema)
     return out.select("doc_id", *[c for c in out.columns if c != "doc_id"])

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import release, slices, written
 from .components import components
 from .words import joined, spread, word_hashes, word_spans
 
@@ -120,6 +120,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     ],
                     names=["doc_id", "content", "n_shingles", "bands"],
                 )
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, content string, n_shingles bigint, bands array<bigint>")
 
@@ -198,6 +199,7 @@ def family_links(rows: DataFrame, least: float = LEAST) -> DataFrame:
                 held.append((row[6], row[5], row[7]))
         if held:
             yield told()
+        release()
 
     dealt = rows.select(*_GROUP, "side", "doc_id", "packed").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     return dealt.mapInArrow(run, "a bigint, b bigint")

@@ -19,7 +19,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import slices, texts, with_columns, with_field
+from .common import release, slices, texts, with_columns, with_field
 
 SPACE = "▁"
 #: Distinct words whose ids a Python worker keeps; beyond it the table starts anew, so a worker's memory is bounded.
@@ -93,6 +93,11 @@ class PieceTable:
         self.words = Words(self.place)
         self.flat, self.starts = [], [0]
 
+    def forget(self) -> None:
+        """Drops the words met so far; a worker that is idle holds the tables alone."""
+        self._start()
+        self.known = {}
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the texts of a and b together ends in a, b: undoes merges from the last to the first and
         looks for a pair across the border that would have come before the merge undone."""
@@ -196,8 +201,7 @@ class PieceTable:
 
     def encode_batch(self, many: list[str], bos: bool, eos: bool) -> pa.ListArray:
         if len(self.words) > KEPT_WORDS:
-            self._start()
-            self.known.clear()
+            self.forget()
         numbers, counts, number_of = array("i"), [], self.words.__getitem__
         for text in many:
             keys = self.word_keys(text)
@@ -314,6 +318,8 @@ def encode(
                 if decoded:
                     new[decoded] = pa.array(table.decode_batch(new[out]), pa.string())
                 yield with_columns(batch.slice(a, b - a), new, drop)
+        table.forget()
+        release()
 
     return df.mapInArrow(run, with_field(df, (out, "array<int>"), *[(decoded, "string")] * bool(decoded), drop=drop))
 

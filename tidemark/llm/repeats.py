@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, with_field, written
+from .common import release, slices, with_field, written
 from .words import spread
 
 #: Stretches that a task gathers before it sends them; bytes of text that it looks at a time; bytes compared at a time.
@@ -85,6 +85,8 @@ def _stretches(docs: DataFrame, stretches_of: Callable) -> DataFrame:
                 held, count = [], 0
         if count:
             yield from _parts(_once([np.concatenate(c) for c in zip(*held)]))
+        held = []
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, _STRETCH)
 
