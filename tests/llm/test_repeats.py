@@ -49,6 +49,27 @@ def test_empty_and_repeated(spark, empty, module):
     assert sorted(r["lang"] or "" for r in got) == ["", "en", "en"]
 
 
+def test_text_longer_than_four_mebibytes(spark, empty):
+    """Repeats before, on and beyond 2^22 bytes; what doc 2 has stands in doc 1 beyond them only."""
+    draw = random.Random(4)
+    noise = lambda n: draw.randbytes(n // 2).hex()
+    p, q, edge = noise(300), noise(300), 1 << 22
+    a, b, c = noise(1000), noise(edge - 1000 - 300 - 2 - 150), noise(100_000)
+    big = a + p + "<" + b + ">" + p + "[" + c + "]" + p + "{" + noise(500) + "}" + q + "|" + noise(400)
+    docs = spark.createDataFrame([(1, big, None, None, None), (2, noise(600) + "_" + q + "~" + noise(300), None, None, None)], empty.schema)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in byte_repeats.cut_repeats(docs).collect()}
+    assert got == {1: (600, 2), 2: (300, 1)}
+
+
+def test_places_do_not_depend_on_pieces(monkeypatch):
+    gram = np.random.default_rng(2).integers(0, 1 << 63, 5000, dtype=np.uint64) << np.uint64(1)
+    gram[1000:1300] = gram[1000]
+    whole = byte_repeats.least_places(gram, 77)
+    assert whole.tolist() == [k + int(np.argmin(gram[k : k + 77] >> np.uint64(22))) for k in range(5000 - 76)]
+    odd = byte_repeats.least_places(np.concatenate([np.zeros((1 << 22) + 5, np.uint64) + np.uint64(1 << 62), gram]), 77)
+    assert (odd[-len(whole) :] - ((1 << 22) + 5)).tolist() == whole.tolist()
+
+
 def test_suffix_order():
     draw = random.Random(3)
     data = np.frombuffer(bytes(draw.choice(b"ab") for _ in range(2000)), np.uint8)

@@ -20,7 +20,7 @@ from .common import with_field
 from .repeats import covered, repeated_starts, with_spans
 from .words import joined, powers, spread
 
-WIDTH, GRAM = 100, 24
+WIDTH, GRAM, _BITS = 100, 24, 22
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _RANDOM = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 
@@ -37,6 +37,24 @@ class PrefixHash:
         return (self.sums[b] - self.sums[a]) * self.inverse[a]
 
 
+def least_places(gram: np.ndarray, reach: int) -> np.ndarray:
+    """Place of the smallest of each `reach` hashes in a row, the leftmost of equal ones. Places are packed into the hashes'
+    low bits, counted from the start of a piece of at most 2^22 hashes, so that the number of hashes has no bound."""
+    bits, out = np.uint64(_BITS), np.empty(max(len(gram) - reach + 1, 0), np.int64)
+    piece = (1 << _BITS) - reach
+    for base in range(0, len(out), piece):
+        part = gram[base : base + piece + reach - 1]
+        least = (part >> bits << bits) | np.arange(len(part), dtype=np.uint64)
+        step = 1
+        while 2 * step <= reach:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        if step < reach:
+            least = np.minimum(least[: len(least) - (reach - step)], least[reach - step :])
+        out[base : base + piece] = (least & np.uint64((1 << _BITS) - 1)).astype(np.int64) + base
+    return out
+
+
 def stretches_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     data, starts = joined(texts)
     size = np.diff(np.append(starts, len(data))) - 1
@@ -47,17 +65,10 @@ def stretches_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     hashes = PrefixHash(data)
     at = np.arange(len(data) - GRAM + 1)
     gram = spread(hashes.of(at, at + GRAM))
-    bits = np.uint64(22)
-    least = (gram >> bits << bits) | at.astype(np.uint64)  # the smallest hash, the leftmost of equal ones
-    step, reach = 1, WIDTH - GRAM + 1
-    while 2 * step <= reach:
-        least = np.minimum(least[:-step], least[step:])
-        step *= 2
-    if step < reach:
-        least = np.minimum(least[: len(least) - (reach - step)], least[reach - step :])
+    smallest = least_places(gram, WIDTH - GRAM + 1)
     count = np.maximum(size - WIDTH + 1, 0)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + starts[doc]
-    anchor = (least[place] & np.uint64((1 << 22) - 1)).astype(np.int64)
+    anchor = smallest[place]
     new = np.ones(len(place), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1] + 1)
     first = np.flatnonzero(new)
