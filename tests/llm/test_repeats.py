@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_repeats, word_repeats
+from tidemark.llm import byte_repeats, repeats, word_repeats
 
 
 def brute(rows, elements, width, glue):
@@ -38,6 +38,36 @@ def test_words_against_brute_force(documents, corpus):
     assert got == {k: (a, b, d) for k, (a, b, _, d) in want.items()}
 
 
+@pytest.mark.parametrize("module", [byte_repeats, word_repeats])
+def test_crowded_anchors(spark, empty, monkeypatch, module):
+    """A passage with another neighbour in each document: no task compares more than a few stretches of an anchor."""
+    monkeypatch.setattr(repeats, "HOT", 3)
+    monkeypatch.setattr(repeats, "MANY", 10)
+    monkeypatch.setattr(repeats, "PARTS", 200)
+    draw = random.Random(6)
+    passage = " ".join(f"p{draw.getrandbits(20):x}" for _ in range(45))
+    word = lambda n: " ".join(f"{draw.getrandbits(24):x}" for _ in range(n))
+    rows = [(k, f"{word(draw.randint(0, 20))} {passage} {word(draw.randint(0, 20))}".strip()) for k in range(120)]
+    rows += [(k, rows[k % 60][1]) for k in range(120, 150)] + [(150, passage + " " + passage)]
+    original = module.compare
+
+    def counted(keys, docs, starts, ns, anchors, contents):
+        _, n = np.unique(keys, return_counts=True)
+        places = len({(k, c) for k, c in zip(keys.tolist(), contents)})
+        assert places == len(keys) or n.max() <= 60, "a key's equal stretches were not reduced"
+        distinct = {}
+        for k, c in zip(keys.tolist(), contents):
+            distinct.setdefault(k, set()).add(c)
+        assert max(map(len, distinct.values())) <= 10, "too many stretches of a key in one task"
+        return original(keys, docs, starts, ns, anchors, contents)
+
+    monkeypatch.setattr(module, "compare", counted)
+    docs = spark.createDataFrame([(a, b, None, None, None) for a, b in rows], empty.schema).repartition(4)
+    size, elements, width, glue = ("n_bytes", lambda t: list(t.encode()), 100, bytes) if module is byte_repeats else ("n_words", lambda t: t.encode().split(), 20, b" ".join)
+    got = {r["doc_id"]: (r[size], r["n_removed"], r["kept_sha256"]) for r in module.cut_repeats(docs).collect()}
+    assert got == {k: (a, b, d) for k, (a, b, _, d) in brute(rows, elements, width, glue).items()}
+
+
 @pytest.mark.parametrize("module", [byte_repeats, word_repeats])
 def test_empty_and_repeated(spark, empty, module):
     assert module.cut_repeats(empty).count() == 0

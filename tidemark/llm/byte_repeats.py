@@ -21,6 +21,8 @@ from .repeats import covered, repeated_starts, with_spans
 from .words import joined, powers, spread
 
 WIDTH, GRAM, _BITS = 100, 24, 22
+#: Windows of a part, where an anchor has too many stretches for one task.
+PARTS = (32, 8, 1)
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _RANDOM = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 
@@ -194,7 +196,7 @@ def cut_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = Fa
     columns are ignored, but those in `carry` stay.
     With as_text, kept is a string, without the parts of characters that the cuts left.
     """
-    joined_rows = with_spans(docs, repeated_starts(docs, stretches_of, content_of, compare), carry)
+    joined_rows = with_spans(docs, repeated_starts(docs, stretches_of, content_of, compare, PARTS), carry)
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor().decompress

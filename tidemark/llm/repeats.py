@@ -7,10 +7,16 @@ repeat it whole. Only where one anchor has stretches of different content are th
 compared. The result is spans of window starts, which are applied to the texts.
 
 Before the shuffle each task keeps one stretch of each content, so that copies, however many, meet once per task.
+
+One anchor may have any number of contents. Where a task sees many of one anchor, it deals them by anchor and content and
+leaves a mark under the anchor, so that the rest of this anchor's stretches is compared too. Before the comparison the
+stretches of anchors with more than MANY are cut into parts, of fewer and fewer windows: a part is named by the anchor and
+by the elements that all its windows share, so equal windows still meet, and parts of one window at last are equal ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,9 +31,18 @@ from .words import spread
 #: Stretches that a task gathers before it sends them; bytes of text that it looks at a time; bytes compared at a time.
 GATHERED, BLOCK, COMPARED = 1_500_000, 1_000_000, 1_500_000
 
-_STRETCH = "key bigint, tag bigint, doc_id bigint, start int, n int, anchor int, known boolean"
+#: Parts of stretches that a task holds at a time.
+PARTS = 50_000
+
+#: Contents of one key in a gathering from which they are dealt by content; stretches of a key that are compared in one task.
+HOT, MANY = 16, 1000
+
+#: kind: open, known as a repeat, dealt by content, or the mark of a key of which some are.
+OPEN, KNOWN, DEALT, MARK = range(4)
+
+_STRETCH = "key bigint, tag bigint, doc_id bigint, start int, n int, anchor int, kind tinyint"
 _NAMES = [x.split()[0] for x in _STRETCH.split(", ")]
-_TYPES = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.bool_)
+_TYPES = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int8)
 
 
 def _record(columns: list[np.ndarray], names: list[str] = _NAMES) -> pa.RecordBatch:
@@ -35,21 +50,31 @@ def _record(columns: list[np.ndarray], names: list[str] = _NAMES) -> pa.RecordBa
 
 
 def _once(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Marks as known repeats all stretches but the first of each content among those gathered."""
+    """Marks as known repeats all stretches but the first of each content among those gathered, and as dealt by content
+    those of keys with more than HOT contents."""
     key, tag, doc, start = columns[:4]
     order = np.arange(len(key))
     if (np.diff(doc) < 0).any():
         order = np.lexsort((start, doc))
-    both = spread(key.view(np.uint64)) ^ tag.view(np.uint64)
-    order = order[np.argsort(both[order], kind="stable")]
-    new = np.ones(len(order), bool)
-    new[1:] = both[order[1:]] != both[order[:-1]]
+    order = order[np.lexsort((tag[order], key[order]))]
+    new_key, new = np.ones(len(order), bool), np.ones(len(order), bool)
+    new_key[1:] = key[order[1:]] != key[order[:-1]]
+    new[1:] = new_key[1:] | (tag[order[1:]] != tag[order[:-1]])
     head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    group = np.cumsum(new_key) - 1
+    hot = (np.bincount(group, new) > HOT)[group]
+    kind = np.full(len(order), OPEN, np.int8)
+    kind[order[hot]] = DEALT
     known = np.zeros(len(order), bool)
     known[order] = ~new & ((doc[order] != doc[head]) | (start[order] != start[head]))  # a repeated row repeats nothing
+    kind[known] = KNOWN
+    marked = key[order[new_key & hot]]
+    least = np.full(len(marked), np.iinfo(np.int64).min)
+    none = np.zeros(len(marked), np.int32)
+    marks = [marked, least, least, none - 1, none, none, np.full(len(marked), MARK, np.int8)]
     # what is known need not meet the others: it is dealt anywhere
     key = np.where(known, spread(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)).view(np.int64), key)
-    return [key, *columns[1:6], known]
+    return [np.concatenate(c) for c in zip([key, *columns[1:6], kind], marks)]
 
 
 def _pack(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -97,12 +122,12 @@ def _parts(columns: list[np.ndarray], names: list[str] = _NAMES) -> Iterator[pa.
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of stretches by key, tag and place: known and later ones of a content (known = true), and the first of each content
-    where a key has several (known = false). At most two rows are carried from batch to batch."""
+    """Of stretches by key, tag and place: known and later ones of a content (KNOWN), and the first of each content
+    where a key has several, here or by its mark (OPEN). At most two rows are carried from batch to batch."""
     carry: list[np.ndarray] | None = None  # rows of the last key; the last column says whether they have been told
     for batch in batches:
         rows = [batch.column(k).to_numpy(zero_copy_only=False).astype(t) for k, t in enumerate(_TYPES)]
-        known = rows[6]
+        known = rows[6] == KNOWN
         if known.any():
             yield _record([c[known] for c in rows])
             rows = [c[~known] for c in rows]
@@ -112,48 +137,137 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carry is not None:
             rows = [np.concatenate([c, r]) for c, r in zip(carry, rows)]
             told = np.concatenate([carry[7], told])
-        key, tag = rows[0], rows[1]
+        key, tag, mark = rows[0], rows[1], rows[6] == MARK
         new_key, new_tag = np.ones(len(key), bool), np.ones(len(key), bool)
         new_key[1:] = key[1:] != key[:-1]
-        new_tag[1:] = new_key[1:] | (tag[1:] != tag[:-1])
+        new_tag[1:] = new_key[1:] | (tag[1:] != tag[:-1]) | (mark[1:] != mark[:-1])
         group = np.cumsum(new_key) - 1
         several = (np.bincount(group, new_tag) > 1)[group]
         first = np.flatnonzero(new_tag)[np.cumsum(new_tag) - 1]
         later = ~new_tag & ~told & ((rows[2] != rows[2][first]) | (rows[3] != rows[3][first]))
-        firsts = new_tag & several & ~told
-        yield _record([*(c[later] for c in rows[:6]), np.ones(int(later.sum()), bool)])
-        yield _record([*(c[firsts] for c in rows[:6]), np.zeros(int(firsts.sum()), bool)])
+        firsts = new_tag & (several | (rows[6] == DEALT)) & ~mark & ~told
+        yield _record([*(c[later] for c in rows[:6]), np.full(int(later.sum()), KNOWN, np.int8)])
+        yield _record([*(c[firsts] for c in rows[:6]), np.full(int(firsts.sum()), OPEN, np.int8)])
         head = np.flatnonzero(new_key)[-1]
         told = told | firsts | ~new_tag
         keep = np.unique([head, np.flatnonzero(new_tag)[-1]])
         carry = [c[keep] for c in rows[:7]] + [told[keep] | (keep != head)]
 
 
-def repeated_starts(docs: DataFrame, stretches_of: Callable, content_of: Callable, compare: Callable) -> DataFrame:
+def _many(rows: DataFrame) -> DataFrame:
+    """The keys of more than MANY rows: at most one for MANY rows."""
+    return written(rows.groupBy("key").count().where(F.col("count") > MANY).select("key"), "many")
+
+
+def _cut(rows: list, width: int, content_of: Callable) -> list[tuple]:
+    """Parts of stretches (key, doc_id, start, n, anchor, content), like these: the windows that begin from k * width to
+    k * width + width - 1 elements before their anchor are one part, named by the elements that stand in all such windows."""
+    out = []
+    for key, doc, start, n, anchor, content in rows:
+        side = (anchor - np.arange(n)) // width
+        first = np.flatnonzero(np.diff(side, prepend=-1))
+        count = np.diff(np.append(first, n))
+        inner = content_of(content, anchor - side[first] * width, np.full(len(first), 2 - width))
+        for a, m, s, name, part in zip(first.tolist(), count.tolist(), side[first].tolist(), inner, content_of(content, first, count)):
+            named = hashlib.blake2b(name, digest_size=8, key=key.to_bytes(8, "little", signed=True), salt=s.to_bytes(4, "little")).digest()
+            out.append((int.from_bytes(named, "little", signed=True), doc, start + a, m, anchor - a, part))
+    return out
+
+
+def _parts_once(parts: list[tuple]) -> pa.RecordBatch:
+    """The parts as rows, open for the first of each content (by its bytes) and known for the others."""
+    seen: dict[tuple, tuple] = {}
+    out: list[tuple] = []
+    for key, doc, start, n, anchor, content in sorted(parts, key=lambda x: (x[1], x[2])):
+        first = seen.get((key, anchor, content))
+        if first is None:
+            seen[key, anchor, content] = (doc, start)
+            out.append((key, doc, start, n, anchor, content, DEALT))
+        elif first != (doc, start):  # a repeated row repeats nothing
+            out.append((key, doc, start, n, anchor, None, KNOWN))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _CONTENT_TYPES)], names=_CONTENT_NAMES)
+
+
+_CONTENT = "key bigint, doc_id bigint, start int, n int, anchor int, content binary, kind tinyint"
+_CONTENT_NAMES = [x.split()[0] for x in _CONTENT.split(", ")]
+_CONTENT_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int8())
+
+
+def _cut_again(rows: DataFrame, width: int, content_of: Callable) -> DataFrame:
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            held += _cut(list(zip(*(batch.column(k).to_pylist() for k in range(6)))), width, content_of)
+            if len(held) >= PARTS:
+                yield _parts_once(held)
+                held = []
+        if held:
+            yield _parts_once(held)
+
+    return rows.mapInArrow(run, _CONTENT)
+
+
+def repeated_starts(docs: DataFrame, stretches_of: Callable, content_of: Callable, compare: Callable, widths: tuple[int, ...]) -> DataFrame:
     """(doc_id, spans): the starts of windows that also start earlier (smaller doc_id, or same document and earlier), as
     runs of start and n; documents without any have no row.
 
     stretches_of(texts) gives key, tag, text number, first start, number of starts and anchor of each stretch;
     content_of(text, starts, ns) gives the bytes of stretches; compare(keys, docs, starts, ns, anchors, contents) gives,
-    for stretches of a few whole keys, (row, offset) of each window that also starts earlier among them.
+    for stretches of a few whole keys, (row, offset) of each window that also starts earlier among them. `widths` are the
+    windows of a part, falling to 1, each a multiple of the next, into which the stretches of crowded keys are cut.
     """
-    dealt = _stretches(docs, stretches_of).repartition("key").sortWithinPartitions("key", "tag", "doc_id", "start")
+    where = F.when(F.col("kind") == DEALT, F.xxhash64("key", "tag")).otherwise(F.col("key"))
+    dealt = _stretches(docs, stretches_of).repartition(where).sortWithinPartitions("key", "tag", "doc_id", "start")
     found = written(dealt.mapInArrow(_sorted_out, _STRETCH), "stretches")
-    open_ = found.where("NOT known").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n", "anchor")).alias("own"))
+    opened = found.where(F.col("kind") == OPEN)
+    many = _many(opened)
+    crowded = not many.isEmpty()
+    if crowded:
+        opened = opened.join(F.broadcast(many.withColumn("crowded", F.lit(True))), "key", "left").withColumn("crowded", F.col("crowded").isNotNull())
+    else:
+        opened = opened.withColumn("crowded", F.lit(False))
+    open_ = opened.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n", "anchor", "crowded")).alias("own"))
     fetched = _pack(docs).join(open_, "doc_id").select("doc_id", "packed", "own")
 
     def fetch(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        names = ["key", "doc_id", "start", "n", "anchor", "content"]
+        held: list[tuple] = []
         for batch in batches:
             for k in range(batch.num_rows):
                 own = batch.column(2)[k].values
                 key, start, n, anchor = (own.field(x) for x in ("key", "start", "n", "anchor"))
                 content = content_of(unpack(batch.column(1)[k].as_py()), start.to_numpy(), n.to_numpy())
-                yield pa.RecordBatch.from_arrays([key, pa.array(np.full(len(key), batch.column(0)[k].as_py())), start, n, anchor, pa.array(content, pa.binary())], names=names)
-
-    contents = fetched.mapInArrow(fetch, "key bigint, doc_id bigint, start int, n int, anchor int, content binary")
-    contents = contents.repartition("key").sortWithinPartitions("key", "doc_id", "start")
+                doc = batch.column(0)[k].as_py()
+                whole = [key, pa.array(np.full(len(key), doc)), start, n, anchor, pa.array(content, pa.binary()), pa.array(np.full(len(key), OPEN, np.int8))]
+                whole = pa.RecordBatch.from_arrays(whole, names=_CONTENT_NAMES)
+                cut = own.field("crowded").to_numpy(zero_copy_only=False)
+                if cut.any():
+                    part = whole.filter(pa.array(cut))
+                    held += _cut(list(zip(*(part.column(c).to_pylist() for c in range(6)))), widths[0], content_of)
+                    whole = whole.filter(pa.array(~cut))
+                    if len(held) >= PARTS:
+                        yield _parts_once(held)
+                        held = []
+                yield whole
+        if held:
+            yield _parts_once(held)
+
+    contents = fetched.mapInArrow(fetch, _CONTENT)
+    spans = found.where(F.col("kind") == KNOWN).select("doc_id", "start", "n")
+    if crowded:
+        contents = written(contents, "contents")
+        parts, contents = contents.where(F.col("kind") != OPEN), contents.where(F.col("kind") == OPEN)
+        for width in [*widths[1:], 0]:
+            spans = spans.unionByName(parts.where(F.col("kind") == KNOWN).select("doc_id", "start", "n"))
+            parts = parts.where(F.col("kind") == DEALT)
+            many = _many(parts) if width else None
+            if many is None or many.isEmpty():
+                contents = contents.unionByName(parts)
+                break
+            contents = contents.unionByName(parts.join(F.broadcast(many), "key", "left_anti").select(*_CONTENT_NAMES))
+            again = parts.join(F.broadcast(many), "key", "left_semi").select(*_CONTENT_NAMES)
+            parts = written(_cut_again(again, width, content_of), "parts")
+    contents = contents.drop("kind").repartition("key").sortWithinPartitions("key", "doc_id", "start")
 
     def compared(batches):
         for rows in _whole_keys(batches):
@@ -168,8 +282,7 @@ def repeated_starts(docs: DataFrame, stretches_of: Callable, content_of: Callabl
             yield _record([doc[row[first]], at[first].astype(np.int32), n.astype(np.int32)], ["doc_id", "start", "n"])
 
     more = contents.mapInArrow(compared, "doc_id bigint, start int, n int")
-    spans = found.where("known").select("doc_id", "start", "n").unionByName(more)
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return spans.unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch]):

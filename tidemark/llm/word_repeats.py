@@ -22,6 +22,8 @@ from .repeats import covered, repeated_starts, with_spans
 from .words import joined, powers, spread, word_hashes, word_spans
 
 WINDOW, ROUNDS = 20, 3
+#: Windows of a part, where an anchor has too many stretches for one task.
+PARTS = (8, 1)
 _FAR = 1 << 40
 _PAIR, _RUN, _TAG = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC3A5C85C97CB3127), 0xB492B66FBE98F273
 
@@ -168,7 +170,7 @@ def cut_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     are one document and all get its result; null ids are one document before all others. An empty table gives no rows;
     other columns are ignored, but those in `carry` stay.
     """
-    rows = with_spans(docs, repeated_starts(docs, stretches_of, content_of, compare), carry)
+    rows = with_spans(docs, repeated_starts(docs, stretches_of, content_of, compare, PARTS), carry)
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor().decompress
