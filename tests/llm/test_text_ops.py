@@ -84,6 +84,18 @@ def test_mix(spark, documents, corpus, empty):
     assert mixing.mix(empty.withColumn("size", F.lit(0).cast("long"))).count() == 0
 
 
+def test_small_sources_beside_a_large_one(spark):
+    """A source gets its target however large the others are."""
+    large = spark.range(256).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(1 << 20).cast("long").alias("size"))
+    small = [(1000 + k, source, size) for source, sizes in (("b", (30, 20)), ("c", (40, 60)), ("d", (900, 600))) for k, size in enumerate(sizes)]
+    docs = large.unionByName(spark.createDataFrame(small, "doc_id bigint, source string, size bigint"))
+    got = mixing.mix(docs.repartition(8)).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert {r["source"] for r in got} == set("abcd")
+    for r in got:
+        shards = 257 if r["source"] == "a" else 1
+        assert abs(r["taken"] - r["target"]) <= 2 * mixing.LEAST_BLOCK * shards, r
+
+
 def test_highest_quotients(spark):
     votes = [53, 24, 23, 0, 7]
     df = spark.createDataFrame([("g", k, v, 13) for k, v in enumerate(votes)], "g string, k int, votes bigint, seats bigint")

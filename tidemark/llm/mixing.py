@@ -19,9 +19,8 @@ from .common import slices, texts, with_field
 WEIGHTS = (5, 2, 1)
 #: The mix is so many times the corpus; no source is taken more than CAP times.
 SHARE, CAP = 1.5, 2
-#: Words of a shard at least, shards of a source at most; blocks of the corpus at least, and the bounds of a block's words.
-SHARD_WORDS, MOST_SHARDS = 1 << 20, 4096
-BLOCKS, LEAST_BLOCK, MOST_BLOCK = 1 << 20, 16, 4096
+#: Words of a shard at least, shards of a source at most; words of a block, whatever the size of the corpus.
+SHARD_WORDS, MOST_SHARDS, LEAST_BLOCK = 1 << 20, 4096, 16
 #: A prime above any shard's number of blocks: a step that visits all of them.
 STEP = 2147483647
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,8 +86,7 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     hashed = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     docs = docs.withColumn("size", F.coalesce("size", F.lit(0)).cast("long")).withColumn("_h", hashed)
     targets = source_targets(docs.select("source", "size"))
-    block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.floor(F.col("total") / BLOCKS))).cast("long")
-    targets = targets.withColumn("block", block).withColumn("shards", F.least(F.lit(MOST_SHARDS), F.ceil((F.col("source_size") + 1) / SHARD_WORDS)).cast("long"))
+    targets = targets.withColumn("block", F.lit(LEAST_BLOCK).cast("long")).withColumn("shards", F.least(F.lit(MOST_SHARDS), F.ceil((F.col("source_size") + 1) / SHARD_WORDS)).cast("long"))
     targets = targets.withColumn("one", F.lit(1)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / F.col("block")).cast("long"))
     targets = apportion(targets, ["one"], ["source"], "target", "seats", "source_blocks").drop("one", "seats", "total")
     plan = targets.withColumnRenamed("source", "_source")
