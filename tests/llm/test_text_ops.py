@@ -12,8 +12,9 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 def test_ids_as_the_library(documents, corpus, spark, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     draw = random.Random(6)
-    alphabet = "abcdeé ßÑ.,\n  ▁0129😀ⓐ门\t"
-    odd = ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 40))) for _ in range(400)] + [" " * n + "x" for n in range(1, 60)]
+    alphabet = "abcdeé ßÑ.,\n  ▁0129😀ⓐ门\t\0\x01\x7f½²Ⅷ"
+    odd = ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 40))) for _ in range(1500)] + [" " * n + "x" for n in range(1, 60)]
+    odd += ["a \0b", "\0", " \0\0", "\0▁a", "a\n\0b", "\0 \n▁\0", "word " * 60_000 + "x" * 5_000 + " \0end"]
     rows = [(1000 + k, t) for k, t in enumerate(odd)] + [(r[0], r[1]) for r in corpus]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("ids", F.lit("taken"))
     got = {r["doc_id"]: r for r in piece_codec.decode(piece_codec.encode(df, MODEL, bos=True, decoded="both"), MODEL).collect()}

@@ -31,11 +31,11 @@ BLOCK = 1_500_000
 class Words(dict):
     """Numbers of words; a new word is encoded as it is first looked up."""
 
-    def __init__(self, place: Callable[[str], int]):
+    def __init__(self, place: Callable[[str | tuple[str]], int]):
         super().__init__()
         self.place = place
 
-    def __missing__(self, key: str) -> int:
+    def __missing__(self, key: str | tuple[str]) -> int:
         return self.place(key)
 
 
@@ -176,22 +176,23 @@ class PieceTable:
                 run = k + 1
         return ids + self._known_chars(text[run:]) if run < len(text) else ids
 
-    def word_keys(self, text: str) -> list[str]:
-        """The text as keys of words: a key is a word after its space, or starts with a line end and has no space before."""
+    def word_keys(self, text: str) -> list[str] | list[tuple[str]]:
+        """The text as keys of words: a key is a word after its space, or starts with a line end and has no space before.
+        Where marks can't be told from spaces so, keys are the words with their marks, in tuples of their own."""
         if not text:
             return []
         keys = text.replace("\n", " \n").split(" ")
         if keys[0] == "" and text[0] == "\n":
             keys[0] = SPACE  # only the mark that every text gets
         if "" in keys or SPACE in text:
-            return _words((SPACE + text).replace(" ", SPACE), mark="\0")
+            return [(w,) for w in _words((SPACE + text).replace(" ", SPACE))]
         return keys
 
-    def place(self, key: str) -> int:
+    def place(self, key: str | tuple[str]) -> int:
         """The number of a new word, after encoding it."""
         n = len(self.words)
-        if key[0] == "\0":
-            text = key[1:]
+        if isinstance(key, tuple):
+            text = key[0]
         else:
             text = key if key[0] == "\n" or key == SPACE else SPACE + key
         self.words[key] = n
@@ -281,15 +282,15 @@ def _byte_wise(raw: bytes) -> str:
     return "".join(out)
 
 
-def _words(marked: str, mark: str = "") -> list[str]:
+def _words(marked: str) -> list[str]:
     """A text with space marks, cut before each run of marks and each line end."""
     out, start, before = [], 0, ""
     for k, c in enumerate(marked):
         if k and (c == "\n" or c == SPACE and before != SPACE):
-            out.append(mark + marked[start:k])
+            out.append(marked[start:k])
             start = k
         before = c
-    return out + [mark + marked[start:]]
+    return out + [marked[start:]]
 
 
 @lru_cache(maxsize=2)
