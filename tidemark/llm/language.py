@@ -4,12 +4,13 @@ States are the languages. A word's emission is the sum of weights of its charact
 touch a border are its affixes) and of its entry in a learnt lexicon; transitions are learnt too. Forward-backward gives
 each word's posterior, so that a code-switched text is labelled word by word; a document's language is the one with the
 largest mean posterior. Training maximises the likelihood of sequences that join stretches of different documents, so
-that switches are seen. Prediction reads whole texts; only training uses a bounded sample of labelled documents.
+that switches are seen. Prediction reads whole texts; only training uses a bounded sample, slices drawn from whole texts.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import fold, slices, texts, with_columns, with_field
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Characters that count as parts of words although they are numbers and no letters, such as fractions.
+_NUMERALS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 UNKNOWN = "und"
-#: Training sample: about so many documents of each language, and at most so many words of each.
-SAMPLE_DOCUMENTS, SAMPLE_WORDS = 300, 160
+#: Training sample: about so many slices of text for each language, and the characters of a slice.
+SAMPLE_SLICES, SLICE_CHARS = 300, 1000
 BUCKETS, ORDERS = 1 << 17, (2, 3, 4)
 #: Words that at least so many sampled documents hold enter the lexicon.
 LEXICON_LEAST = 3
@@ -108,20 +111,39 @@ def posteriors(emission: np.ndarray, transitions: np.ndarray, lengths: np.ndarra
     return p, forward, backward
 
 
-def sample(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> list[tuple[str, str]]:
-    """(lang, text) of about `documents` labelled documents of each language outside fold 0, chosen by a hash of the id:
-    the same rows at every run, and as many for a corpus of any size."""
+def sample(docs: DataFrame, slices_each: int = SAMPLE_SLICES, chars: int = SLICE_CHARS) -> list[tuple[str, str]]:
+    """(lang, slice) of about `slices_each` slices of `chars` characters for each language, from labelled documents
+    outside fold 0. Every slice of every such whole text is drawn with the same chance, by a hash of the id and the slice's
+    number: the same slices at every run, as many for a corpus of any size. Words cut by a slice's edges are left out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    many = F.greatest(F.ceil(F.length("text") / chars), F.lit(1)).cast("int")
+    known = known.select("doc_id", "lang", "text", many.alias("many"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum("many").alias("n")).collect()}
     if not counts:
         return []
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, documents / n)))])
-    draw = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.where(draw < share[F.col("lang")]).select("doc_id", "lang", "text").collect()
-    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["text"]))]
+    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, slices_each / n)))])
+    draw = lambda k: F.pmod(F.xxhash64(F.lit(17), F.col("doc_id"), k), F.lit(1 << 30)) / float(1 << 30)
+    chosen = F.filter(F.sequence(F.lit(0), F.col("many") - 1), lambda k: draw(k) < share[F.col("lang")])
+    # a character more on each side tells whether a word is cut there
+    cut = F.transform(chosen, lambda k: F.struct(k.alias("k"), F.substring(F.col("text"), F.greatest(k * chars, F.lit(1)), F.when(k == 0, chars + 1).otherwise(chars + 2)).alias("part")))
+    rows = known.select("doc_id", "lang", cut.alias("cut")).where(F.size("cut") > 0).select("doc_id", "lang", F.explode("cut").alias("cut")).select("doc_id", "lang", "cut.*").collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["k"], r["part"]))
+    return [(r["lang"], _whole_words(r["part"], r["k"] > 0, len(r["part"]) > chars + (r["k"] > 0))) for r in rows]
 
 
-def fit(rows: list[tuple[str, str]], words: int = SAMPLE_WORDS, seed: int = 5) -> ChainField:
+def _whole_words(part: str, more_before: bool, more_after: bool) -> str:
+    """A slice, with a character more on the sides where its text goes on, without the words cut at its edges."""
+    found = [m.span() for m in WORD.finditer(part)]
+    low = 1 if more_before else 0
+    high = len(part) - 1 if more_after else len(part)
+    if found and found[0][0] < low:
+        low = found[0][1]
+    if found and found[-1][1] > high:
+        high = found[-1][0]
+    return part[low:high]
+
+
+def fit(rows: list[tuple[str, str]], seed: int = 5) -> ChainField:
     """Learns the field from the sample by adaptive gradient steps on the likelihood of code-switched sequences.
 
     Texts without letters teach nothing; with no usable row there are no languages and every prediction is `und`.
@@ -135,8 +157,6 @@ def fit(rows: list[tuple[str, str]], words: int = SAMPLE_WORDS, seed: int = 5) -
         found = WORD.findall(text.lower())
         if not found:
             continue
-        start = int(draw.integers(0, max(1, len(found) - words + 1)))
-        found = found[start : start + words]
         for w in found:
             holders.setdefault(w, set()).add(n)
         at = 0
