@@ -85,6 +85,20 @@ def test_mix(spark, documents, corpus, empty):
     assert mixing.mix(empty.withColumn("size", F.lit(0).cast("long"))).count() == 0
 
 
+def test_clashing_columns(spark, documents):
+    """Columns that are called like the plan's are replaced; any others stay."""
+    sized = documents.withColumn("size", mixing.size_of(F.col("text")))
+    want = {(r["doc_id"], r["taken"]) for r in mixing.mix(sized).collect()}
+    ours = [c for c in mixing.PLAN if c != "size"] + ["shards", "quota", "seats", "one", "hash", "name", "row", "shard", "level", "weight", "total", "_v", "_q", "_h", "_source", "a.b"]
+    for name in [*ours, "Block"]:
+        sized = sized.withColumn(name, F.lit("x")) if name != "Block" else sized.withColumnRenamed("block", "Block")
+    mixed = mixing.mix(sized)
+    got = mixed.collect()
+    assert {(r["doc_id"], r["taken"]) for r in got} == want
+    assert {r["quota"] for r in got} == {r["a.b"] for r in got} == {"x"} and {r["block"] for r in got} == {mixing.LEAST_BLOCK}
+    assert mixing.take(mixed, ["doc_id", "text", "quota"]).count() > 0
+
+
 def test_small_sources_beside_a_large_one(spark):
     """A source gets its target however large the others are."""
     large = spark.range(256).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(1 << 20).cast("long").alias("size"))

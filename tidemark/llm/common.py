@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -17,11 +18,15 @@ FOLDS = 5
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir or what setCheckpointDir named. Where neither is
+    set, a local session (one machine) gets a new folder; a cluster's own folders are not shared, so there it is an error."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = context.getCheckpointDir()
     return named
 
 
@@ -42,14 +47,6 @@ def held_out(doc_id: Column) -> Column:
     return fold(doc_id) == 0
 
 
-def fresh(name: str, taken: list[str]) -> str:
-    """name, with underscores before it until no column is called so (letter case apart)."""
-    low = {c.lower() for c in taken}
-    while name.lower() in low:
-        name = "_" + name
-    return name
-
-
 def with_field(df: DataFrame, *fields: tuple[str, str], drop: tuple[str, ...] = ()) -> T.StructType:
     """Schema of df with fields replaced or appended, as a mapInArrow result."""
     new = T.StructType()

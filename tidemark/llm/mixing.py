@@ -2,8 +2,9 @@
 
 Sources get blocks of equal size by the highest quotients target / (2 k + 1); each source's blocks go to its shards the
 same way, so that every shard has an integer quota. A shard's words, its documents in a seeded order, are cut into blocks;
-the quota is whole passes over them and a seeded choice of single blocks. A shard is a hash range of a source, so a hot
-source has more shards; tables by source and by shard are all that is not dealt out by document.
+the quota is whole passes over them and a seeded choice of single blocks. A shard is a part of a source by hash, so a hot
+source has more shards. The plans by source and by shard are written once; documents are read for their sizes and once more
+to be dealt to their shards.
 """
 
 from __future__ import annotations
@@ -14,16 +15,18 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, texts, with_field
+from .common import slices, texts, with_field, written
 
 WEIGHTS = (5, 2, 1)
 #: The mix is so many times the corpus; no source is taken more than CAP times.
 SHARE, CAP = 1.5, 2
-#: Words of a shard at least, shards of a source at most; words of a block, whatever the size of the corpus.
-SHARD_WORDS, MOST_SHARDS, LEAST_BLOCK = 1 << 20, 4096, 16
+#: Words of a shard, about; words of a block, whatever the size of the corpus.
+SHARD_WORDS, LEAST_BLOCK = 1 << 20, 16
 #: A prime above any shard's number of blocks: a step that visits all of them.
 STEP = 2147483647
 WORD = r"[^\x20\x09-\x0D]+"
+#: Columns of mix beside those of a document.
+PLAN = ("size", "source_size", "target", "block", "place", "steps", "passes", "chosen", "shift", "taken")
 
 
 def size_of(text: Column) -> Column:
@@ -82,22 +85,24 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
     Every row gets a result: sizes of 0 take nothing, a null source is a source of its own, repeated rows count apart and
     equal ids are ordered by size. Reruns agree. Null sizes count as 0. No document is taken more than twice its size.
+    Columns of docs that are called like a result (PLAN) are replaced, whatever their letter case; all others stay.
     """
     hashed = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    docs = docs.withColumn("size", F.coalesce("size", F.lit(0)).cast("long")).withColumn("_h", hashed)
-    targets = source_targets(docs.select("source", "size"))
-    targets = targets.withColumn("block", F.lit(LEAST_BLOCK).cast("long")).withColumn("shards", F.least(F.lit(MOST_SHARDS), F.ceil((F.col("source_size") + 1) / SHARD_WORDS)).cast("long"))
-    targets = targets.withColumn("one", F.lit(1)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / F.col("block")).cast("long"))
-    targets = apportion(targets, ["one"], ["source"], "target", "seats", "source_blocks").drop("one", "seats", "total")
-    plan = targets.withColumnRenamed("source", "_source")
-    rows = docs.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumn("shard", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % F.col("shards"))
-    shards = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
-    shards = apportion(shards, ["source"], ["source", "shard"], "shard_size", "source_blocks", "quota").select(
-        F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", "quota"
+    others = [c for c in docs.columns if c.lower() not in PLAN]
+    own = F.struct(*[F.col(f"`{c}`") for c in others])  # apart from the plan's columns, whatever they are called
+    rows = docs.select(
+        own.alias("row"), "doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), hashed.alias("hash"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("name")
     )
-    rows = rows.join(shards, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard"))).drop("_source", "_shard")
-    order = Window.partitionBy("source", "shard").orderBy(F.substring("_h", 9, 24), F.col("doc_id"), F.col("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = written(rows.select("source", "name", "size", F.conv(F.substring("hash", 1, 8), 16, 10).cast("long").alias("part")), "mix-sizes")
+    targets = source_targets(sizes)
+    targets = targets.withColumn("block", F.lit(LEAST_BLOCK).cast("long")).withColumn("shards", F.ceil((F.col("source_size") + 1) / SHARD_WORDS).cast("long"))
+    targets = targets.withColumn("one", F.lit(1)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / F.col("block")).cast("long"))
+    targets = apportion(targets, ["one"], ["source"], "target", "seats", "source_blocks")
+    plan = written(targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("name"), "source_size", "target", "block", "shards", "source_blocks"), "mix-sources")
+    shards = sizes.join(plan, "name").groupBy("name", (F.col("part") % F.col("shards")).alias("shard")).agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
+    shards = written(apportion(shards, ["name"], ["name", "shard"], "shard_size", "source_blocks", "quota").select("name", "shard", "shard_size", "quota"), "mix-shards")
+    rows = rows.join(plan, "name").withColumn("shard", F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") % F.col("shards")).join(shards, ["name", "shard"])
+    order = Window.partitionBy("name", "shard").orderBy(F.substring("hash", 9, 24), F.col("doc_id"), F.col("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("place", F.sum("size").over(order) - F.col("size"))
     rows = rows.withColumn("steps", F.greatest(F.ceil(F.col("shard_size") / F.col("block")), F.lit(1)).cast("long"))
     quota = F.least(F.col("quota"), CAP * F.col("steps"))
@@ -106,19 +111,14 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     blocks = F.sequence(F.floor(F.col("place") / F.col("block")), F.floor((F.col("place") + F.col("size") - 1) / F.col("block")))
     overlap = lambda j: F.least(F.col("place") + F.col("size"), (j + 1) * F.col("block")) - F.greatest(F.col("place"), j * F.col("block"))
     single = F.aggregate(blocks, F.lit(0).cast("long"), lambda n, j: n + F.when(_picked(j), overlap(j)).otherwise(0))
-    return rows.withColumn("taken", F.when(F.col("size") > 0, F.col("passes") * F.col("size") + single).otherwise(0).cast("long")).drop(
-        "_h", "shards", "source_blocks", "shard", "shard_size", "quota"
-    )
+    rows = rows.withColumn("taken", F.when(F.col("size") > 0, F.col("passes") * F.col("size") + single).otherwise(0).cast("long"))
+    return rows.select("row.*", *PLAN)
 
 
 def _picked(j: Column) -> Column:
     return (j * (F.lit(STEP) % F.col("steps")) + F.col("shift")) % F.col("steps") < F.col("chosen")
 
 
-#: Columns of mix beside those of a document.
-PLAN = ("size", "source_size", "target", "block", "place", "steps", "passes", "chosen", "shift", "taken")
-
-
 def take(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of the mix: `columns` of `mixed`, a whole document once for each pass and its words in chosen blocks as one
     row more; n_chars, where it is among them, follows the text. Documents of which nothing is taken have no row."""

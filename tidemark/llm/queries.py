@@ -133,8 +133,8 @@ f AS (
 t AS (
   SELECT source, source_size, total, least(CAST(2 * source_size AS DOUBLE),
     coalesce(max(CASE WHEN level * weight < 2 * source_size THEN level END) OVER () * weight, CAST(2 * source_size AS DOUBLE))) AS target,
-    CAST(least(4096, greatest(16, total // 1048576)) AS BIGINT) AS block,
-    CAST(least(4096, ceil((source_size + 1) / CAST(1048576 AS DOUBLE))) AS BIGINT) AS shards FROM f),
+    CAST(16 AS BIGINT) AS block,
+    CAST(ceil((source_size + 1) / CAST(1048576 AS DOUBLE)) AS BIGINT) AS shards FROM f),
 a0 AS (SELECT *, CAST(round(sum(target) OVER () / block) AS BIGINT) AS seats, sum(target) OVER () AS v FROM t),
 a1 AS (SELECT *, CAST(CASE WHEN v > 0 THEN floor(target * seats / v + 0.5) ELSE 0 END AS BIGINT) AS q FROM a0),
 a2 AS (SELECT *, CASE WHEN v > 0 THEN CAST(seats - sum(q) OVER () AS BIGINT) ELSE 0 END AS d FROM a1),
