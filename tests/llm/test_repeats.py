@@ -79,6 +79,60 @@ def test_empty_and_repeated(spark, empty, module):
     assert sorted(r["lang"] or "" for r in got) == ["", "en", "en"]
 
 
+@pytest.mark.parametrize("module", [byte_repeats, word_repeats])
+def test_hashes_only_propose(spark, documents, corpus, monkeypatch, module):
+    """With names and digests that collide everywhere, elements decide, in tasks and across them."""
+    strong = module.stretches_of
+
+    def weak(texts):
+        key, tag, *rest = strong(texts)
+        return [key % np.uint64(3), tag & np.uint64(1), *rest]
+
+    monkeypatch.setattr(module, "stretches_of", weak)
+    size, elements, width, glue = ("n_bytes", lambda t: list(t.encode()), 100, bytes) if module is byte_repeats else ("n_words", lambda t: t.encode().split(), 20, b" ".join)
+    got = {r["doc_id"]: (r[size], r["n_removed"], r["kept_sha256"]) for r in module.cut_repeats(documents).collect()}
+    assert got == {k: (a, b, d) for k, (a, b, _, d) in brute(corpus, elements, width, glue).items()}
+
+
+@pytest.mark.parametrize("module", [byte_repeats, word_repeats])
+def test_rows_without_an_id(spark, empty, module):
+    """They come before all others; different texts stay apart, equal ones are one document."""
+    draw = random.Random(12)
+    text = lambda n: " ".join(f"{draw.getrandbits(32):x}" for _ in range(n))
+    shared, own = text(60), text(60)
+    rows = [(None, f"{text(50)} {own} {text(9)} {own} {shared}"), (None, text(80)), (None, None), (3, f"{text(30)} {shared} {text(30)}"), (-5, own + " " + text(40))]
+    rows.append(rows[0])
+    docs = spark.createDataFrame([(a, b, None, None, None) for a, b in rows], empty.schema).repartition(3)
+    size, elements, width, glue = ("n_bytes", lambda t: list(t.encode()), 100, bytes) if module is byte_repeats else ("n_words", lambda t: t.encode().split(), 20, b" ".join)
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r[size], r["n_removed"], r["kept_sha256"]) for r in module.cut_repeats(docs).collect())
+    numbered = [(-100 + k, rows[k][1]) for k in range(3)] + rows[3:5]
+    by = brute(numbered, elements, width, glue)
+    want = [(k >= -50, k if k >= -50 else 0, n, gone, digest) for k, (n, gone, _, digest) in by.items()]
+    want.append(next(w for w in want if w[2] == by[-100][0]))
+    assert got == sorted(want)
+
+
+def test_a_very_long_text(spark, empty):
+    """20 MB in one text, with a passage that stands at both ends and in another document."""
+    draw = random.Random(14)
+    passage = " ".join(f"p{draw.getrandbits(32):x}" for _ in range(40))
+    big = passage + " " + draw.randbytes(10_000_000).hex(" ", 4) + " " + passage
+    docs = spark.createDataFrame([(2, big, None, None, None), (1, "one " + passage + " two", None, None, None)], empty.schema)
+    got = {r["doc_id"]: r for r in byte_repeats.cut_repeats(docs).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_bytes"] == len(big) and got[2]["n_removed"] in range(2 * len(passage), 2 * len(passage) + 4) and got[2]["n_spans"] == 2
+    got = {r["doc_id"]: r for r in word_repeats.cut_repeats(docs).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == 80
+
+
+def test_symbols_do_not_depend_on_pieces(monkeypatch):
+    words = np.random.default_rng(5).integers(0, 50, 3000, dtype=np.uint64)
+    symbols = word_repeats.recompress(words, np.repeat([0, 1, 2], 1000))
+    whole = word_repeats.highest(*symbols, 3000)
+    monkeypatch.setattr(word_repeats, "PIECE", 171)
+    cut = word_repeats.highest(*symbols, 3000)
+    assert (symbols[0][whole[:2980]] == symbols[0][cut[:2980]]).all() and (symbols[1][whole[:2980]] >= 2).mean() > 0.9
+
+
 def test_text_longer_than_four_mebibytes(spark, empty):
     """Repeats before, on and beyond 2^22 bytes; what doc 2 has stands in doc 1 beyond them only."""
     draw = random.Random(4)

@@ -1,10 +1,10 @@
 """Suffix-array dedup of bytes: prefix polynomial hashes, suffixes sorted by hash-compared merging, exact at the end.
 
-Anchors are the smallest 24-byte hashes of each 100-byte window. Where one anchor has different surroundings, the suffixes
-that start at its occurrences are sorted: a merge sort whose comparisons find the common extension of two suffixes by
-binary search over prefix polynomial hashes, so that one takes logarithmic time. Neighbours' common extensions cut the
-sorted suffixes into runs that agree to the right of the anchor; hashes of what stands to its left tell which windows are
-equal. Each such pair is verified byte by byte.
+Anchors are the smallest 24-byte hashes of each 100-byte window. The suffixes that start at the occurrences of one anchor
+are sorted: a merge sort whose comparisons find the common extension of two suffixes by binary search over prefix
+polynomial hashes, so that one takes logarithmic time. Neighbours' common extensions cut the sorted suffixes into runs that
+agree to the right of the anchor; hashes of what stands to its left tell which windows are equal. Each such pair is
+verified byte by byte; so are the stretches that a task leaves out of the sort because it has them already (see repeats).
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ def stretches_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     doc = np.repeat(np.arange(len(texts)), np.maximum(size - WIDTH + 1, 0))
     if not len(doc):
         empty = np.zeros(0, np.int64)
-        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty, empty
+        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty, empty, data, empty, empty
     hashes = PrefixHash(data)
     at = np.arange(len(data) - GRAM + 1)
     gram = spread(hashes.of(at, at + GRAM))
@@ -77,7 +77,7 @@ def stretches_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     n = np.diff(np.append(first, len(place)))
     begin, d = place[first], doc[first]
     tag = spread(PrefixHash(data, _OTHER, 1).of(begin, begin + n - 1 + WIDTH) + n.astype(np.uint64))
-    return gram[anchor[first]], tag, d, begin - starts[d], n, anchor[first] - begin
+    return gram[anchor[first]], tag, d, begin - starts[d], n, anchor[first] - begin, data, begin, n - 1 + WIDTH
 
 
 def content_of(text: bytes, starts: np.ndarray, ns: np.ndarray) -> list[bytes]:
@@ -192,8 +192,8 @@ def cut_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = Fa
     100-byte string covers which also starts earlier (smaller doc_id, or earlier in the same document).
 
     Null texts are empty; texts of fewer than 100 bytes lose nothing. A doc_id stands for one text: repeated equal rows are
-    one document and all get its result; null ids are one document before all others. An empty table gives no rows; other
-    columns are ignored, but those in `carry` stay.
+    one document and all get its result. Rows without an id come before all others, in an order of their texts' hashes;
+    equal ones are one document. An empty table gives no rows; other columns are ignored, but those in `carry` stay.
     With as_text, kept is a string, without the parts of characters that the cuts left.
     """
     joined_rows = with_spans(docs, repeated_starts(docs, stretches_of, content_of, compare, PARTS), carry)

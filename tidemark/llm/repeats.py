@@ -2,11 +2,12 @@
 
 A window is W consecutive elements (bytes or words) of one document. Each window names an anchor inside it that depends on
 the window's content alone, so equal windows have equal anchors at equal places; consecutive windows of one anchor are a
-stretch. Stretches are dealt by their anchor's name. Stretches of equal content need no further look: all but the first
-repeat it whole. Only where one anchor has stretches of different content are their elements fetched and their windows
-compared. The result is spans of window starts, which are applied to the texts.
+stretch. Stretches are dealt by their anchor's name; a name that only one place has is dropped. Of the others the elements
+are fetched and their windows compared. The result is spans of window starts, which are applied to the texts.
 
-Before the shuffle each task keeps one stretch of each content, so that copies, however many, meet once per task.
+Before the shuffle each task keeps one stretch of each content, so that copies, however many, meet once per task. Hashes
+only propose: a task drops a stretch if its bytes are those of the one it keeps, and the comparison verifies windows by
+their elements, so no element goes because hashes agree.
 
 One anchor may have any number of contents. Where a task sees many of one anchor, it deals them by anchor and content and
 leaves a mark under the anchor, so that the rest of this anchor's stretches is compared too. Before the comparison the
@@ -22,14 +23,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, slices, with_field, written
 from .words import spread
 
 #: Stretches that a task gathers before it sends them; bytes of text that it looks at a time; bytes compared at a time.
-GATHERED, BLOCK, COMPARED = 1_500_000, 1_000_000, 1_500_000
+GATHERED, BLOCK, COMPARED = 1_000_000, 1_000_000, 1_500_000
 
 #: Parts of stretches that a task holds at a time.
 PARTS = 50_000
@@ -49,10 +50,23 @@ def _record(columns: list[np.ndarray], names: list[str] = _NAMES) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
-def _once(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Marks as known repeats all stretches but the first of each content among those gathered, and as dealt by content
-    those of keys with more than HOT contents."""
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes from a are those from b, eight at a time; every size is 8 at least."""
+    words = np.ndarray((max(len(data) - 7, 0),), np.uint64, data, 0, (1,))
+    out = np.ones(len(a), bool)
+    open_ = np.arange(len(a))
+    for k in range(0, int(size.max()) if len(size) else 0, 8):
+        open_ = open_[size[open_] > k]
+        at = np.minimum(k, size[open_] - 8)
+        out[open_] &= words[a[open_] + at] == words[b[open_] + at]
+    return out
+
+
+def _once(columns: list[np.ndarray], data: np.ndarray) -> list[np.ndarray]:
+    """Marks as known repeats the stretches that hold the same bytes as an earlier one among those gathered, and as dealt by
+    content those of keys with more than HOT contents. The last two columns are each stretch's place and size in data."""
     key, tag, doc, start = columns[:4]
+    low, size = columns[6:]
     order = np.arange(len(key))
     if (np.diff(doc) < 0).any():
         order = np.lexsort((start, doc))
@@ -65,55 +79,75 @@ def _once(columns: list[np.ndarray]) -> list[np.ndarray]:
     hot = (np.bincount(group, new) > HOT)[group]
     kind = np.full(len(order), OPEN, np.int8)
     kind[order[hot]] = DEALT
-    known = np.zeros(len(order), bool)
-    known[order] = ~new & ((doc[order] != doc[head]) | (start[order] != start[head]))  # a repeated row repeats nothing
+    again = np.flatnonzero(~new)
+    same = (doc[order[again]] == doc[head[again]]) & (start[order[again]] == start[head[again]])
+    twice = order[again[same]]  # a repeated row repeats nothing
+    again = again[~same]
+    again = again[size[order[again]] == size[head[again]]]
+    known = order[again[_equal(data, low[order[again]], low[head[again]], size[order[again]])]]
     kind[known] = KNOWN
     marked = key[order[new_key & hot]]
     least = np.full(len(marked), np.iinfo(np.int64).min)
     none = np.zeros(len(marked), np.int32)
     marks = [marked, least, least, none - 1, none, none, np.full(len(marked), MARK, np.int8)]
     # what is known need not meet the others: it is dealt anywhere
-    key = np.where(known, spread(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start.astype(np.uint64)).view(np.int64), key)
-    return [np.concatenate(c) for c in zip([key, *columns[1:6], kind], marks)]
+    key = key.copy()
+    key[known] = spread(doc[known].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + start[known].astype(np.uint64)).view(np.int64)
+    left = np.ones(len(key), bool)
+    left[twice] = False
+    return [np.concatenate(c) for c in zip([c[left] for c in (key, *columns[1:6], kind)], marks)]
+
+
+def identity(text: str = "text") -> Column:
+    """The number under which a document's stretches go: its doc_id, or, where that is null, a number below all others that
+    depends on the text, so that different texts without an id stay apart."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
 
 
 def _pack(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, packed, *carry): zstd of each text."""
-    schema = with_field(docs.select(*carry), ("doc_id", "bigint"), ("packed", "binary"))
+    """(id, doc_id, packed, *carry): identity and zstd of each text."""
+    schema = with_field(docs.select(*carry), ("id", "bigint"), ("doc_id", "bigint"), ("packed", "binary"))
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                data = [packer.compress((x or "").encode("utf-8", "surrogatepass")) for x in part.column(1).to_pylist()]
-                columns = [*(part.column(2 + k) for k in range(len(carry))), part.column(0).cast(pa.int64()), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*carry, "doc_id", "packed"])
+                data = [packer.compress((x or "").encode("utf-8", "surrogatepass")) for x in part.column(2).to_pylist()]
+                columns = [*(part.column(3 + k) for k in range(len(carry))), part.column(0), part.column(1), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*carry, "id", "doc_id", "packed"])
 
-    return docs.select("doc_id", "text", *carry).mapInArrow(run, schema).select("doc_id", "packed", *carry)
+    rows = docs.select(identity().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    return rows.mapInArrow(run, schema).select("id", "doc_id", "packed", *carry)
 
 
 def _stretches(docs: DataFrame, stretches_of: Callable) -> DataFrame:
     def run(batches):
         held: list[list[np.ndarray]] = []
-        count = 0
+        blocks: list[np.ndarray] = []
+        count = total = 0
+
+        def told():
+            yield from _parts(_once([np.concatenate(c) for c in zip(*held)], np.concatenate(blocks)))
+
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64())
             many = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
-            number = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            number = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in slices(np.fromiter(map(len, many), np.int64, len(many)), BLOCK):
-                key, tag, doc, start, n, anchor = stretches_of(many[a:b])
-                held.append([key.view(np.int64), tag.view(np.int64), number[a:b][doc], start.astype(np.int32), n.astype(np.int32), anchor.astype(np.int32)])
-                count += len(key)
-            if count >= GATHERED:
-                yield from _parts(_once([np.concatenate(c) for c in zip(*held)]))
-                held, count = [], 0
+                key, tag, doc, start, n, anchor, data, low, size = stretches_of(many[a:b])
+                if len(key):
+                    held.append([key.view(np.int64), tag.view(np.int64), number[a:b][doc], start.astype(np.int32), n.astype(np.int32), anchor.astype(np.int32), low + total, size.astype(np.int32)])
+                    blocks.append(data)
+                    count, total = count + len(key), total + len(data)
+                if count >= GATHERED:
+                    yield from told()
+                    held, blocks, count, total = [], [], 0, 0
         if count:
-            yield from _parts(_once([np.concatenate(c) for c in zip(*held)]))
-        held = []
+            yield from told()
+        held, blocks = [], []
         release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _STRETCH)
+    return docs.select(identity().alias("id"), "text").mapInArrow(run, _STRETCH)
 
 
 def _parts(columns: list[np.ndarray], names: list[str] = _NAMES) -> Iterator[pa.RecordBatch]:
@@ -122,9 +156,9 @@ def _parts(columns: list[np.ndarray], names: list[str] = _NAMES) -> Iterator[pa.
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of stretches by key, tag and place: known and later ones of a content (KNOWN), and the first of each content
-    where a key has several, here or by its mark (OPEN). At most two rows are carried from batch to batch."""
-    carry: list[np.ndarray] | None = None  # rows of the last key; the last column says whether they have been told
+    """Of stretches by key, tag and place: the known ones, and as OPEN those of keys that have several, here or by their
+    mark. Two rows at most, the first and the last of the last key, are carried from batch to batch."""
+    carry: list[np.ndarray] | None = None  # the last column says whether a row has been told
     for batch in batches:
         rows = [batch.column(k).to_numpy(zero_copy_only=False).astype(t) for k, t in enumerate(_TYPES)]
         known = rows[6] == KNOWN
@@ -137,21 +171,18 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carry is not None:
             rows = [np.concatenate([c, r]) for c, r in zip(carry, rows)]
             told = np.concatenate([carry[7], told])
-        key, tag, mark = rows[0], rows[1], rows[6] == MARK
-        new_key, new_tag = np.ones(len(key), bool), np.ones(len(key), bool)
+        key, mark = rows[0], rows[6] == MARK
+        new_key, twice = np.ones(len(key), bool), np.zeros(len(key), bool)
         new_key[1:] = key[1:] != key[:-1]
-        new_tag[1:] = new_key[1:] | (tag[1:] != tag[:-1]) | (mark[1:] != mark[:-1])
+        twice[1:] = ~new_key[1:]
+        for c in (1, 2, 3):  # a repeated row
+            twice[1:] &= rows[c][1:] == rows[c][:-1]
         group = np.cumsum(new_key) - 1
-        several = (np.bincount(group, new_tag) > 1)[group]
-        first = np.flatnonzero(new_tag)[np.cumsum(new_tag) - 1]
-        later = ~new_tag & ~told & ((rows[2] != rows[2][first]) | (rows[3] != rows[3][first]))
-        firsts = new_tag & (several | (rows[6] == DEALT)) & ~mark & ~told
-        yield _record([*(c[later] for c in rows[:6]), np.full(int(later.sum()), KNOWN, np.int8)])
-        yield _record([*(c[firsts] for c in rows[:6]), np.full(int(firsts.sum()), OPEN, np.int8)])
-        head = np.flatnonzero(new_key)[-1]
-        told = told | firsts | ~new_tag
-        keep = np.unique([head, np.flatnonzero(new_tag)[-1]])
-        carry = [c[keep] for c in rows[:7]] + [told[keep] | (keep != head)]
+        several = (np.bincount(group, ~twice) > 1)[group]
+        chosen = (several | (rows[6] == DEALT)) & ~mark & ~twice & ~told
+        yield _record([*(c[chosen] for c in rows[:6]), np.full(int(chosen.sum()), OPEN, np.int8)])
+        keep = np.unique([np.flatnonzero(new_key)[-1], len(key) - 1])
+        carry = [c[keep] for c in rows[:7]] + [(told | chosen | mark | twice)[keep]]
 
 
 def _many(rows: DataFrame) -> DataFrame:
@@ -209,9 +240,10 @@ def _cut_again(rows: DataFrame, width: int, content_of: Callable) -> DataFrame:
 
 def repeated_starts(docs: DataFrame, stretches_of: Callable, content_of: Callable, compare: Callable, widths: tuple[int, ...]) -> DataFrame:
     """(doc_id, spans): the starts of windows that also start earlier (smaller doc_id, or same document and earlier), as
-    runs of start and n; documents without any have no row.
+    runs of start and n, by identity; documents without any have no row.
 
-    stretches_of(texts) gives key, tag, text number, first start, number of starts and anchor of each stretch;
+    stretches_of(texts) gives key, tag, text number, first start, number of starts and anchor of each stretch, then bytes,
+    and where in these each stretch's content begins and how long it is (8 bytes at least);
     content_of(text, starts, ns) gives the bytes of stretches; compare(keys, docs, starts, ns, anchors, contents) gives,
     for stretches of a few whole keys, (row, offset) of each window that also starts earlier among them. `widths` are the
     windows of a part, falling to 1, each a multiple of the next, into which the stretches of crowded keys are cut.
@@ -227,7 +259,8 @@ def repeated_starts(docs: DataFrame, stretches_of: Callable, content_of: Callabl
     else:
         opened = opened.withColumn("crowded", F.lit(False))
     open_ = opened.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n", "anchor", "crowded")).alias("own"))
-    fetched = _pack(docs).join(open_, "doc_id").select("doc_id", "packed", "own")
+    packed = _pack(docs).drop("doc_id").withColumnRenamed("id", "doc_id")
+    fetched = packed.join(open_, "doc_id").select("doc_id", "packed", "own")
 
     def fetch(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -321,4 +354,4 @@ def covered(n: int, spans: list[dict] | None, width: int) -> np.ndarray:
 
 def with_spans(docs: DataFrame, spans: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, packed, spans, *carry) of every row of docs; spans is null where nothing repeats."""
-    return _pack(docs, carry).join(spans, "doc_id", "left").select("doc_id", "packed", "spans", *carry)
+    return _pack(docs, carry).join(spans.withColumnRenamed("doc_id", "id"), "id", "left").select("doc_id", "packed", "spans", *carry)

@@ -2,10 +2,11 @@
 
 Rounds name runs of one symbol, then pairs of neighbours, over all documents: a run is named by its symbol and length, a
 pair by its two symbols, where a bit of each symbol's name says whether it may open or close a pair. A name is a 64-bit
-hash of what it stands for, so that all tasks give equal substrings equal names without a dictionary. Each symbol keeps
-the stretch of words that its forming looked at; a symbol whose stretch lies inside a window is formed in every document
-that has this window. Each window's anchor is such a symbol, a formed one rather than a word, the one of the smallest name, and
-equal windows meet under its name (see repeats). What shares a name is verified word by word.
+hash of what it stands for, so that all tasks give equal substrings equal names and Spark need not gather a dictionary.
+Each symbol keeps the stretch of words that its forming looked at; a symbol whose stretch lies inside a window is formed in
+every document that has this window, so equal windows have equal interior symbols. A window is read from the highest level
+that has such a symbol (the smallest name among several): Spark groups these names over all documents, names that one place
+alone has are dropped, and a shared symbol reveals the windows around it. They are verified word by word (see repeats).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .repeats import covered, repeated_starts, with_spans
 from .words import joined, powers, spread, word_hashes, word_spans
 
 WINDOW, ROUNDS = 20, 3
+#: Bits of a symbol's number within a piece, words of a piece (each has fewer than four symbols).
+_BITS, PIECE = 26, 1 << 23
 #: Windows of a part, where an anchor has too many stretches for one task.
 PARTS = (8, 1)
 _FAR = 1 << 40
@@ -81,8 +84,31 @@ def recompress(names: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tupl
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def highest(names: np.ndarray, level: np.ndarray, low: np.ndarray, high: np.ndarray, n_words: int) -> np.ndarray:
+    """For each word, the number of the symbol of the highest level, then smallest name, whose stretch lies in the WINDOW
+    words from there; for words before the last WINDOW - 1 at least. Numbers are packed into the names' low bits, counted
+    from the start of a piece, so that the number of words has no bound."""
+    order = np.argsort(low, kind="stable")
+    place, size, bits = low[order], (high - low)[order], np.uint64(_BITS)
+    rank = (ROUNDS - level[order]).astype(np.uint64) << np.uint64(62) | spread(names[order]) >> np.uint64(2)
+    out = np.zeros(n_words, np.int64)
+    for a in range(0, n_words, PIECE):
+        b = min(a + PIECE, n_words)
+        first, last = np.searchsorted(place, (a, b + WINDOW))
+        value = rank[first:last] >> bits << bits | np.arange(last - first, dtype=np.uint64)
+        at, length_of = place[first:last] - a, size[first:last]
+        best = np.full(b - a + WINDOW + 1, np.iinfo(np.uint64).max, np.uint64)
+        for length in range(1, WINDOW + 1):  # the least value whose stretch lies in `length` words from here
+            if length > 1:
+                best[:-1] = np.minimum(best[:-1], best[1:])
+            own = np.flatnonzero(length_of == length)
+            np.minimum.at(best, at[own], value[own])
+        out[a:b] = order[np.minimum((best[: b - a] & np.uint64((1 << _BITS) - 1)).astype(np.int64) + first, len(order) - 1)]
+    return out
+
+
 def stretches_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    data, starts = joined(texts)
+    data, starts = joined([b" ".join(x.split()) for x in texts])
     first, last, at = word_spans(data, starts)
     words = word_hashes(data, first, last)
     n_words = np.diff(at)
@@ -90,19 +116,10 @@ def stretches_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     doc = np.repeat(np.arange(len(texts)), count)
     if not len(doc):
         empty = np.zeros(0, np.int64)
-        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty, empty
+        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty, empty, data, empty, empty
     names, level, low, high = recompress(words, np.repeat(np.arange(len(texts)), n_words))
-    bits = np.uint64(26)
-    value = (level == 0).astype(np.uint64) << np.uint64(63) | spread(names) >> np.uint64(1) >> bits << bits | np.arange(len(names), dtype=np.uint64)
-    size = high - low
-    best = np.full(len(words) + 1, np.iinfo(np.uint64).max, np.uint64)
-    for length in range(1, WINDOW + 1):  # the least symbol whose stretch lies in `length` words from here
-        if length > 1:
-            best[:-1] = np.minimum(best[:-1], best[1:])
-        own = np.flatnonzero(size == length)
-        np.minimum.at(best, low[own], value[own])
     place = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + at[:-1][doc]
-    symbol = (best[place] & np.uint64((1 << 26) - 1)).astype(np.int64)
+    symbol = highest(names, level, low, high, len(words))[place]
     new = np.ones(len(place), bool)
     new[1:] = (symbol[1:] != symbol[:-1]) | (place[1:] != place[:-1] + 1)
     begin = np.flatnonzero(new)
@@ -112,7 +129,7 @@ def stretches_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     tag = spread(_range_hash(sums, start, start + n - 1 + WINDOW) + n.astype(np.uint64))
     # the words that the symbol depends on are in the window too: with them, an anchor's name is rarely met by chance
     key = spread(names[symbol] + level[symbol].astype(np.uint64) + _range_hash(sums, low[symbol], high[symbol]))
-    return key, tag, d, start - at[:-1][d], n, low[symbol] - start
+    return key, tag, d, start - at[:-1][d], n, low[symbol] - start, data, first[start], last[start + n - 2 + WINDOW] - first[start]
 
 
 def _prefix(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +184,8 @@ def cut_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     20 words covers which also starts earlier (smaller doc_id, or earlier in the same document), joined by one space.
 
     Null texts have no words; texts of fewer than 20 words lose nothing. A doc_id stands for one text: repeated equal rows
-    are one document and all get its result; null ids are one document before all others. An empty table gives no rows;
-    other columns are ignored, but those in `carry` stay.
+    are one document and all get its result. Rows without an id come before all others, in an order of their texts' hashes;
+    equal ones are one document. An empty table gives no rows; other columns are ignored, but those in `carry` stay.
     """
     rows = with_spans(docs, repeated_starts(docs, stretches_of, content_of, compare, PARTS), carry)
 
