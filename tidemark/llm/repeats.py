@@ -32,8 +32,8 @@ from .words import spread
 #: Stretches that a task gathers before it sends them; bytes of text that it looks at a time; bytes compared at a time.
 GATHERED, BLOCK, COMPARED = 1_000_000, 1_000_000, 1_500_000
 
-#: Parts of stretches that a task holds at a time.
-PARTS = 50_000
+#: Stretches whose contents, and parts of stretches, that a task holds at a time.
+FETCHED, PARTS = 10_000, 50_000
 
 #: Contents of one key in a gathering from which they are dealt by content; stretches of a key that are compared in one task.
 HOT, MANY = 16, 1000
@@ -264,26 +264,40 @@ def repeated_starts(docs: DataFrame, stretches_of: Callable, content_of: Callabl
 
     def fetch(batches):
         unpack = zstandard.ZstdDecompressor().decompress
-        held: list[tuple] = []
+        whole: list[tuple] = []
+        content: list[bytes] = []
+        parts: list[tuple] = []
+        size = 0
+
+        def told():
+            key, doc, start, n, anchor, crowded = (np.concatenate(c) for c in zip(*whole))
+            numbers = (key, doc, start.astype(np.int32), n.astype(np.int32), anchor.astype(np.int32))
+            plain = np.flatnonzero(~crowded)
+            at = np.flatnonzero(crowded)
+            parts.extend(_cut(list(zip(*(c[at].tolist() for c in numbers), [content[k] for k in at.tolist()])), widths[0], content_of))
+            kept = content if not len(at) else [content[k] for k in plain.tolist()]
+            arrays = [*(pa.array(c[plain]) for c in numbers), pa.array(kept, pa.binary()), pa.array(np.full(len(plain), OPEN, np.int8))]
+            return pa.RecordBatch.from_arrays(arrays, names=_CONTENT_NAMES)
+
         for batch in batches:
-            for k in range(batch.num_rows):
-                own = batch.column(2)[k].values
-                key, start, n, anchor = (own.field(x) for x in ("key", "start", "n", "anchor"))
-                content = content_of(unpack(batch.column(1)[k].as_py()), start.to_numpy(), n.to_numpy())
-                doc = batch.column(0)[k].as_py()
-                whole = [key, pa.array(np.full(len(key), doc)), start, n, anchor, pa.array(content, pa.binary()), pa.array(np.full(len(key), OPEN, np.int8))]
-                whole = pa.RecordBatch.from_arrays(whole, names=_CONTENT_NAMES)
-                cut = own.field("crowded").to_numpy(zero_copy_only=False)
-                if cut.any():
-                    part = whole.filter(pa.array(cut))
-                    held += _cut(list(zip(*(part.column(c).to_pylist() for c in range(6)))), widths[0], content_of)
-                    whole = whole.filter(pa.array(~cut))
-                    if len(held) >= PARTS:
-                        yield _parts_once(held)
-                        held = []
-                yield whole
-        if held:
-            yield _parts_once(held)
+            docs_of, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            own, edge = lists.values, lists.offsets.to_numpy().tolist()
+            key, start, n, anchor, crowded = (own.field(x).to_numpy(zero_copy_only=False) for x in ("key", "start", "n", "anchor", "crowded"))
+            for k, data in enumerate(batch.column(1)):
+                a, b = edge[k], edge[k + 1]
+                content += content_of(unpack(data.as_py()), start[a:b], n[a:b])
+                whole.append((key[a:b], np.full(b - a, docs_of[k]), start[a:b], n[a:b], anchor[a:b], crowded[a:b]))
+                size += b - a
+                if size >= FETCHED:
+                    yield told()
+                    whole, content, size = [], [], 0
+                    if len(parts) >= PARTS:
+                        yield _parts_once(parts)
+                        parts = []
+        if size:
+            yield told()
+        if parts:
+            yield _parts_once(parts)
 
     contents = fetched.mapInArrow(fetch, _CONTENT)
     spans = found.where(F.col("kind") == KNOWN).select("doc_id", "start", "n")
@@ -304,6 +318,10 @@ def repeated_starts(docs: DataFrame, stretches_of: Callable, content_of: Callabl
 
     def compared(batches):
         for rows in _whole_keys(batches):
+            rows, known = _distinct(rows)
+            yield known
+            if not len(rows[0]):
+                continue
             row, offset = compare(*rows)
             _, doc, start = rows[:3]
             order = np.lexsort((offset, row))
@@ -318,6 +336,21 @@ def repeated_starts(docs: DataFrame, stretches_of: Callable, content_of: Callabl
     return spans.unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
+def _distinct(rows: list) -> tuple[list, pa.RecordBatch]:
+    """Of the rows of whole keys, by key and place: those that still have to be compared, the first of each content where
+    a key has several; and, as spans, all others that are no repeated rows: their bytes stand earlier as a whole."""
+    key, doc, start, n, anchor, content = rows
+    keys, anchors = key.tolist(), anchor.tolist()
+    seen: dict[tuple, int] = {}
+    first = np.fromiter((seen.setdefault(x, k) for k, x in enumerate(zip(keys, anchors, content))), np.int64, len(keys))
+    own = first == np.arange(len(first))
+    known = ~own & ((doc != doc[first]) | (start != start[first]))
+    _, group, many = np.unique(key[own], return_inverse=True, return_counts=True)
+    left = np.flatnonzero(own)[many[group] > 1]
+    spans = _record([doc[known], start[known].astype(np.int32), n[known].astype(np.int32)], ["doc_id", "start", "n"])
+    return [*(c[left] for c in (key, doc, start, n, anchor)), [content[k] for k in left.tolist()]], spans
+
+
 def _whole_keys(batches: Iterator[pa.RecordBatch]):
     """Rows of whole keys, as many as have about COMPARED bytes."""
     held: list[list] = []
