@@ -113,3 +113,29 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {k: (n[k], want[k]) for k in want}
     assert len(links) > 500
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_single_precision_vectors(spark):
+    """Floats as the tables have them, of several lengths, with null and repeated ids; block distances stay below all pairs."""
+    rng = np.random.default_rng(8)
+    rows = [(k, np.float32(rng.normal(size=64)).tolist(), 0) for k in range(1500)]
+    centre = rng.normal(size=(5, 64))
+    rows += [(2000 + k, np.float32(centre[k % 5] + 0.09 * rng.normal(size=64)).tolist(), 1) for k in range(300)]
+    rows += [(3000 + k, np.float32(rng.normal(size=3) + (5, 0, 0)).tolist(), 1) for k in range(40)]
+    rows += [(None, rows[0][1], 0), (7, rows[9][1], 0), (7, rows[7][1], 0), (3500, [float("inf")] * 64, 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    seen = spark.sparkContext.accumulator(0)
+    got = near_vectors.near_vectors(df, distances=seen).collect()
+    known = [(i, np.array(v, np.float64), label) for i, v, label in rows if i is not None and np.isfinite(v).all()]
+    n, links = Counter(), []
+    for a in range(len(known)):
+        for b in range(a):
+            (i, x, p), (j, y, q) = known[a], known[b]
+            if p == q and len(x) == len(y) and x @ y >= 0.98 * np.linalg.norm(x) * np.linalg.norm(y):
+                n.update((a, b))
+                links.append((i, j))
+    want = grouped({i for i, _, _ in known} | {3500}, links)
+    assert {r["vec_id"]: r["component_id"] for r in got if r["vec_id"] is not None} == want
+    assert sorted(r["n_links"] for r in got if r["vec_id"] is not None) == sorted([n[k] for k in range(len(known))] + [0])
+    assert [(r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is None] == [(0, None, True)]
+    assert len(links) > 300 and 0 < seen.value < 1500 * 1499 / 2 + 300 * 299

@@ -3,9 +3,10 @@
 Unit vectors are rotated by a seeded orthogonal matrix and cut into blocks of a few dimensions. Two vectors whose squared
 distance is at most D have a block whose squared distance is at most D times the block's share of the dimensions, so each
 block is range-joined under this budget: its first two coordinates are cut into tiles, a vector is at home in one tile and
-a visitor where it lies within the block's radius of another. In a tile, pairs within the block's budget are candidates;
-their cosine is computed from the whole vectors in double precision. A pair counts in the first block that proposes it, so
-the union needs no pass of its own and no pairs leave a task: only link counts and spanning links do.
+a visitor where it lies within the block's radius of another. In a tile, the next two coordinates tell which vectors are in
+reach of each other, and pairs of these within the block's budget are candidates; their cosine is computed from the whole
+vectors as they are, in double precision. A pair counts in the first block that proposes it, so the union needs no pass of
+its own and no pairs leave a task: only link counts and spanning links do.
 
 Equal vectors of a label are one vector with a count, so a group of copies, however large, is one row. A tile of many
 vectors is cut into chunks whose pairs are separate tasks.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,9 @@ from .components import components
 
 LEAST = 0.98
 #: Dimensions of a block, tile width in radii, vectors of a tile's chunk.
-BLOCK_DIMS, TILE_RADII, CHUNK = 16, 3.0, 2048
+BLOCK_DIMS, TILE_RADII, CHUNK = 16, 3.0, 8192
+#: A tile of at most STRIP by STRIP vectors is compared as a whole; left vectors of a cell that are compared at a time.
+STRIP, CELL = 64, 512
 _SLACK = 1e-9
 #: Sides of a chunk pair that a row takes.
 LEFT, RIGHT, BOTH = 0, 1, 2
@@ -133,25 +137,57 @@ def _stars(node: np.ndarray, other: np.ndarray, size: int) -> np.ndarray:
             return label
 
 
-def _compared(left: np.ndarray, right: np.ndarray, allowed, b: int, parts: list[slice], budgets: np.ndarray, least: float):
-    """(i, j) of the pairs that block b proposes first and whose cosine is at least `least`, strip by strip."""
+def _strips(left: np.ndarray, right: np.ndarray, width: float):
+    """Of two sets of points by two coordinates: (rows of left, low, high) so that every pair that differs by at most
+    `width` in both has its left point in rows and its right one in low to high of `order`, which comes first. Points lie
+    in cells of half of `width`; those of a cell meet what is in reach in each column of cells that is."""
+    few = len(left) * len(right) <= STRIP**2
+    size = width / 2
+    cell = [np.floor(x / size).astype(np.int64) for x in (left, right)]
+    order = np.arange(len(right)) if few else np.lexsort((right[:, 1], cell[1][:, 0]))
+    yield order, 0, 0
+    if few:
+        yield np.arange(len(left)), 0, len(right)
+        return
+    at, second = cell[1][order, 0], right[order, 1]
+    rows = np.lexsort((left[:, 1], cell[0][:, 0]))
+    column, row = cell[0][rows, 0], cell[0][rows, 1]
+    new = np.ones(len(rows), bool)
+    new[1:] = (column[1:] != column[:-1]) | (row[1:] != row[:-1])
+    edges = np.append(np.flatnonzero(new), len(rows))
+    for a, e in zip(edges.tolist(), edges[1:].tolist()):
+        bounds = np.searchsorted(at, column[a] + np.arange(-2, 4)).tolist()
+        reach = (left[rows[a], 1] - width, left[rows[e - 1], 1] + width)
+        for low, high in zip(bounds, bounds[1:]):
+            if low < high:
+                x, y = (low + np.searchsorted(second[low:high], reach)).tolist()
+                for k in range(a, e if x < y else a, CELL):
+                    yield rows[k : min(k + CELL, e)], x, y
+
+
+def _compared(left: np.ndarray, right: np.ndarray, strips, allowed, b: int, parts: list[slice], budgets: np.ndarray, near):
+    """(i, j) of the pairs that block b proposes first and that are near, strip by strip; after each strip, as the third,
+    how many block distances it took. right is in the order of the strips."""
     part = parts[b]
     square = (right[:, part] ** 2).sum(axis=1)
-    for a in range(0, len(left), 256):
-        strip = left[a : a + 256, part]
-        near = (strip**2).sum(axis=1)[:, None] + square[None] - 2 * strip @ right[:, part].T <= budgets[b]
-        i, j = np.nonzero(near & allowed(a, a + len(strip)))
+    for rows, low, high in strips:
+        strip = left[rows, part]
+        close = (strip**2).sum(axis=1)[:, None] + square[None, low:high] - 2 * strip @ right[low:high, part].T <= budgets[b]
+        i, j = np.nonzero(close & allowed(rows, low, high))
+        i, j = rows[i], j + low
         for k in range(0, len(i), 20_000):
-            x, y = left[a + i[k : k + 20_000]], right[j[k : k + 20_000]]
-            good = np.einsum("ij,ij->i", x, y) >= least
+            x, y = i[k : k + 20_000], j[k : k + 20_000]
+            good = near(x, y)
+            x, y = x[good], y[good]
             if b:
-                x, y = x[good], y[good]
-                earlier = np.add.reduceat((x - y) ** 2, [p.start for p in parts], axis=1)[:, :b] <= budgets[:b]
-                good[good] = ~earlier.any(axis=1)
-            yield a + i[k : k + 20_000][good], j[k : k + 20_000][good]
+                earlier = np.add.reduceat((left[x] - right[y]) ** 2, [p.start for p in parts], axis=1)[:, :b] <= budgets[:b]
+                first = ~earlier.any(axis=1)
+                x, y = x[first], y[first]
+            yield x, y, 0
+        yield i[:0], j[:0], len(rows) * (high - low)
 
 
-def _tile_links(rows: DataFrame, least: float) -> DataFrame:
+def _tile_links(rows: DataFrame, least: float, distances: Accumulator | None = None) -> DataFrame:
     """Of the rows of whole chunk pairs: (a, b, n): n links more for a (b null), or a spanning link a-b (n null)."""
     keys = [*_PLACES, "i", "j"]
 
@@ -160,19 +196,32 @@ def _tile_links(rows: DataFrame, least: float) -> DataFrame:
         parts = blocks(dims)
         budgets = np.array([(2 - 2 * least) * (p.stop - p.start) / dims for p in parts]) + _SLACK
         turned = rotation(dims)
-        z = _units(raw, dims) @ turned
+        plain = _units(raw, dims)
+        z = plain @ turned
         lefts, rights = np.flatnonzero(side != RIGHT), np.flatnonzero(side != LEFT)
         if not len(lefts) or not len(rights):
             return
+        inside = z[:, [min(parts[b].start + k, parts[b].stop - 1) for k in (2, 3)]]
+        strips = _strips(inside[lefts], inside[rights], np.sqrt(budgets[b]))
+        rights = rights[next(strips)[0]]
         visits = (own[0][rights] != key[3]) | (own[1][rights] != key[4])
 
-        def allowed(a, e):  # two at home in one chunk: once
-            return visits[None] | (first[lefts[a:e], None] < first[rights][None]) if key[5] == key[6] else np.ones((e - a, len(rights)), bool)
+        def allowed(rows, low, high):  # two at home in one chunk: once
+            if key[5] != key[6]:
+                return np.ones((len(rows), high - low), bool)
+            return visits[None, low:high] | (first[lefts[rows], None] < first[rights[low:high]][None])
+
+        def near(i, j):  # on the vectors as they are: turning them moves a cosine by rounding
+            return np.einsum("ij,ij->i", plain[lefts[i]], plain[rights[j]]) >= least
 
         ids = np.unique(first)
         total = np.zeros(len(ids), np.int64)
         label = np.arange(len(ids))
-        for i, j in _compared(z[lefts], z[rights], allowed, b, parts, budgets, least):
+        for i, j, took in _compared(z[lefts], z[rights], strips, allowed, b, parts, budgets, near):
+            if took and distances is not None:
+                distances.add(took)
+            if not len(i):
+                continue
             x, y = np.searchsorted(ids, first[lefts[i]]), np.searchsorted(ids, first[rights[j]])
             np.add.at(total, x, n[rights[j]])
             np.add.at(total, y, n[lefts[i]])
@@ -207,13 +256,13 @@ def _tile_links(rows: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
-def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = LEAST, distances: Accumulator | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of (vec_id, embedding, label): links join vectors of one label
     and length whose cosine is at least `least`.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows of null label or id, link with
     nothing. Equal vectors link with each other; a repeated row counts as another vector. Extra columns are ignored; an
-    empty table gives no rows.
+    empty table gives no rows. `distances`, where given, is told how many distances within a block were computed.
     """
     rows = written(prepared(vectors), "vectors")
     distinct = rows.where("dims > 0").groupBy("label", "dims", "raw").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
@@ -228,7 +277,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     lefts = placed.where(home & (F.col("chunks") > 1)).select("*", F.col("c").alias("i"), every.alias("j"), F.lit(LEFT).alias("side")).where("i != j")
     rights = placed.where(~home | (F.col("chunks") > 1)).select("*", every.alias("i"), F.col("c").alias("j"), F.lit(RIGHT).alias("side"))
     rights = rights.where(~home | (F.col("i") < F.col("j")))
-    found = written(_tile_links(both.unionByName(lefts).unionByName(rights), least), "vector-links")
+    found = written(_tile_links(both.unionByName(lefts).unionByName(rights), least, distances), "vector-links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("more"))
     part = components(found.where("b IS NOT NULL").select("a", "b"))
     known = distinct.join(counts, "first", "left").join(part, F.col("first") == F.col("node"), "left").select(
@@ -238,5 +287,5 @@ def near_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
-        (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept"),
+        F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
     )
