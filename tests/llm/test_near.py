@@ -60,6 +60,28 @@ def test_large_families_are_cut(spark, monkeypatch):
     assert 1 < len({r["component_id"] for r in got}) < 30
 
 
+def test_a_group_of_near_copies_costs_its_size(spark, monkeypatch):
+    """Leaders take a large group: texts are sent a few times each, however many chunks the group has."""
+    monkeypatch.setattr(near_copies, "CHUNK", 10)
+    sent = []
+    for name in ("led", "family_links"):
+        real = getattr(near_copies, name)
+        monkeypatch.setattr(near_copies, name, lambda rows, *a, real=real: (sent.append(rows.count()), real(rows, *a))[1])
+    draw = random.Random(3)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 300):
+        words = list(base)
+        for _ in range(draw.choice((0, 1, 1, 2, 2))):
+            words[draw.randrange(200)] = f"x{draw.random()}"
+        rows.append((k, " ".join(words)))
+    sets = {k: shingle_counts(t) for k, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and similarity(sets[a], sets[b]) >= 0.8]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == grouped(sets, links)
+    assert sum(sent) < 6 * len(rows), sent
+
+
 def test_overlaps():
     texts = [b"a b c d e f g h", b"a b c d e f g x", b"a b c d e a b c d e a b c d e", b"a b c d e a b c d e"]
     doc, value, times, _ = near_copies.shingles(texts)
