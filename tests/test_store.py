@@ -142,8 +142,69 @@ def test_exact_segments(spark):
 
 def test_bloom_never_misses(spark):
     rows = spark.createDataFrame([(f"k{n}", "v", False, n % 5, 0, n) for n in range(200)], TABLE)
-    claimed = bloom.may_contain(bloom.bits(rows), rows.select("key").distinct())
+    claimed = bloom.may_contain(bloom.filters(rows), flush.metadata(rows), rows.select("key").distinct())
     assert rows.join(claimed, ["key", "file_number"], "left_anti").count() == 0
+    bitmap = {r["file_number"]: r["filter"] for r in bloom.filters(rows).collect()}
+    assert all(bloom.has(bitmap[n % 5], f"k{n}") for n in range(200))
+    said = {(r["key"], r["file_number"]) for r in claimed.collect()}
+    low = {r["file_number"]: (r["min_key"], r["max_key"]) for r in flush.metadata(rows).collect()}
+    assert said == {(f"k{n}", t) for n in range(200) for t in range(5) if low[t][0] <= f"k{n}" <= low[t][1] and bloom.has(bitmap[t], f"k{n}")}
+    bit_rows = {t: {r["bit"] for r in bloom.bits(rows).where(F.col("file_number") == t).collect()} for t in range(5)}
+    assert all({b for b in range(1000) if bitmap[t][b // 64] >> (b % 64) & 1} == bit_rows[t] for t in range(5))
+
+
+def test_batches_of_many_tables(spark, tmp_path):
+    """A batch becomes several tables; compaction keeps entries, the newest overwrite and deletes, and writes each table once."""
+    store = Store(spark, EngineConfig(str(tmp_path / "db"), table_entries=100, gc_tombstones=True))
+    frame = lambda rows: spark.createDataFrame(rows, "key string, val string, tombstone boolean, seq bigint")
+    store.write_batch(frame([(f"k{n:04d}", "old", False, n) for n in range(500)]))
+    assert len(store.manifest) == 5 and all(t["ts_ms"] > 1_600_000_000_000 for t in store.manifest)
+    edges = sorted((t["min_key"], t["max_key"]) for t in store.manifest)
+    assert all(a[1] < b[0] for a, b in zip(edges, edges[1:]))
+    store.write_batch(frame([(f"k{n:04d}", "new", False, n) for n in range(0, 500, 5)] + [(f"k{n:04d}", None, True, 600 + n) for n in range(1, 500, 5)]))
+    want = {f"k{n:04d}": "new" if n % 5 == 0 else "old" for n in range(500) if n % 5 != 1}
+    assert {r["key"]: r["val"] for r in store.scan().collect()} == want
+    assert store.get("k0003")["data"] == "old" and not store.get("k0001")["success"] and not store.get("k0003x")["success"]
+    store.compact()
+    assert {r["key"]: r["val"] for r in store.scan().collect()} == want
+    assert {t["level"] for t in store.manifest} == {3} and sum(t["n_entries"] for t in store.manifest) == len(want)
+    for level in {t["level"] for t in store.manifest}:
+        edges = sorted((t["min_key"], t["max_key"]) for t in store.manifest if t["level"] == level)
+        assert all(a[1] < b[0] for a, b in zip(edges, edges[1:]))
+    assert {r["key"]: r["val"] for r in Store(spark, store.config).scan().collect()} == want
+
+
+def test_steps_and_cascade_agree(spark):
+    """One merge after all steps are planned gives what merging after each step gives, and reads entries as often at any number of levels."""
+    draw = random.Random(21)
+    rows, number = [], 0
+    for level, many in ((2, 6), (1, 5), (0, 7)):
+        for k in range(many):
+            span = range(k * 20, k * 20 + 19) if level else draw.sample(range(150), 9)
+            rows += [(f"k{n:03d}", None if n % 7 == level else f"{level}-{n}", n % 7 == level, number, level, number * 1000 + n) for n in span if draw.random() < 0.8]
+            number += 1
+    tables = spark.createDataFrame(rows, TABLE)
+    for gc in (False, True):
+        steps = tables
+        for level in range(3):
+            steps = compact.compact_into(steps, level, 3, gc).cache()
+        got = compact.cascade(tables, 3, gc)
+        columns = ["key", "val", "tombstone", "file_number", "level", "seq"]
+        assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, steps.select(columns).collect()))
+    plan = compact.cascade(tables, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 4, "entries and the manifest, for tables that stay and that move"
+
+
+def test_files_written_and_measured(spark, tmp_path):
+    from tidemark.functions.workload import directory_size
+
+    rows = spark.createDataFrame([(k, "v", False, n % 2, 0, n) for n, k in enumerate("abcdef")], TABLE)
+    said = codec.write_tables(rows, str(tmp_path / "tables")).collect()
+    back = codec.open_tables(spark, str(tmp_path / "tables" / "table-*"))
+    assert {(r["key"], r["file_number"]) for r in back.collect()} == {(k, n % 2) for n, k in enumerate("abcdef")}
+    assert directory_size(spark, str(tmp_path / "tables")).first()["bytes"] == sum(r["bytes"] for r in said) > 0
+    codec.write_log(rows.select("key", "val", "tombstone", "seq"), F.floor(F.col("seq") / 4), str(tmp_path / "log")).collect()
+    assert [(r["key"], r["segment"]) for r in codec.open_log(spark, str(tmp_path / "log" / "wal-*")).orderBy("segment", "place").collect()] == [(k, n // 4) for n, k in enumerate("abcdef")]
 
 
 def test_codec_bytes_and_damage(spark):

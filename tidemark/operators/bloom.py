@@ -1,11 +1,13 @@
-"""Bloom filters as rows (table, bit), to skip tables that can't hold a key."""
+"""Bloom filters of tables, to skip those that can't hold a key: rows (table, bit), or one bitmap for each table."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS, HASHES = 1000, 7
+BITS, HASHES, WORD = 1000, 7, 64
 
 
 def positions(key: Column) -> Column:
@@ -17,9 +19,31 @@ def bits(tables: DataFrame) -> DataFrame:
     return tables.select("file_number", F.explode(positions(F.col("key"))).alias("bit")).distinct()
 
 
-def may_contain(filters: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, file_number) of the tables that may hold the key: all its bits are set. Never misses one that does."""
-    probes = keys.select("key", F.explode(F.array_distinct(positions(F.col("key")))).alias("bit"))
-    needed = keys.select("key", F.size(F.array_distinct(positions(F.col("key")))).alias("needed"))
-    hits = probes.join(filters, "bit").groupBy("key", "file_number").agg(F.count("*").alias("hits"))
-    return hits.join(needed, "key").where("hits = needed").select("key", "file_number")
+def filters(tables: DataFrame) -> DataFrame:
+    """(file_number, filter): 16 words of 64 bits for each table. Words are summed up in every task before they are sent."""
+    rows = tables.select("file_number", F.explode(positions(F.col("key"))).alias("bit"))
+    word, bit = F.floor(F.col("bit") / WORD).cast("int"), F.pmod(F.col("bit"), F.lit(WORD)).cast("int")
+    words = rows.groupBy("file_number", word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    known = F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("known")
+    full = F.transform(F.sequence(F.lit(0), F.lit((BITS - 1) // WORD)), lambda k: F.coalesce(F.element_at("known", k), F.lit(0).cast("long")))
+    return words.groupBy("file_number").agg(known).select("file_number", full.alias("filter"))
+
+
+def holds(bitmap: Column, key: Column) -> Column:
+    """Whether all bits of the key are set."""
+    word = lambda p: F.element_at(bitmap, (F.floor(p / WORD) + 1).cast("int"))
+    return F.forall(positions(key), lambda p: F.call_function("shiftright", word(p), F.pmod(p, F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+
+
+def may_contain(filters: DataFrame, manifest: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, file_number) of the tables that may hold the key: it is in their range and all its bits are set. Never misses
+    one that does. The range join's table side has a row for each table."""
+    ranges = manifest.select("file_number", "min_key", "max_key").join(filters, "file_number")
+    near = keys.join(ranges, (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key")))
+    return near.where(holds(F.col("filter"), F.col("key"))).select("key", "file_number")
+
+
+def has(bitmap: list[int], key: str) -> bool:
+    """The same test for one key and table."""
+    places = (int(hashlib.md5(f"{key}{i}".encode()).hexdigest()[:15], 16) % BITS for i in range(HASHES))
+    return all(bitmap[p // WORD] >> (p % WORD) & 1 for p in places)

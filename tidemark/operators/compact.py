@@ -41,27 +41,64 @@ def without_tables(manifest: DataFrame, dropped: DataFrame) -> DataFrame:
     return manifest.join(dropped.select("file_number"), "file_number", "left_anti")
 
 
-def compact_into(tables: DataFrame, level: int, bottom: int | None = None, gc: bool = False) -> DataFrame:
-    """All tables after level `level` has gone into the next one. Groups without a table of `level` stay as they are; each
-    other group becomes one table with a number above all others. With gc, tombstones that reach `bottom` are dropped:
-    all older versions of their keys are in the merge or have the tombstone's table above them no more."""
-    pair = tables.where(F.col("level").isin(level, level + 1))
-    groups = overlap_groups(metadata(pair))
-    moving = groups.groupBy("grp").agg(F.min("level").alias("top")).where(F.col("top") == level).select("grp")
-    taken = groups.join(moving, "grp", "left_semi").select("file_number", "level", "grp")
-    new = merged(tables.join(taken, ["file_number", "level"]))
-    if gc and level + 1 == bottom:
-        new = new.where(~F.col("tombstone"))
-    above = tables.agg(F.coalesce(F.max("file_number") + 1, F.lit(0)).alias("base"))
-    new = new.crossJoin(F.broadcast(above)).select("key", "val", "tombstone", (F.col("base") + F.col("grp")).alias("file_number"), F.lit(level + 1).alias("level"), "seq")
-    rest = tables.join(taken.select("file_number", "level"), ["file_number", "level"], "left_anti")
-    return rest.select("key", "val", "tombstone", "file_number", "level", "seq").unionByName(new)
-
-
-def cascade(tables: DataFrame, bottom: int, gc: bool = False) -> DataFrame:
+def planned(manifest: DataFrame) -> DataFrame:
+    """The manifest (file_number, level, min_key, max_key) before any step: where each table is (to_file, to_level), the
+    key range there (low, high), and whether tombstones are collected there."""
+    return manifest.select(
+        "file_number", "level", F.col("file_number").alias("to_file"), F.col("level").alias("to_level"), F.col("min_key").alias("low"), F.col("max_key").alias("high"), F.lit(False).alias("collected")
+    )
+
+
+def step(plan: DataFrame, level: int, bottom: int | None = None, gc: bool = False) -> DataFrame:
+    """The plan after level `level` has gone into the next one. Groups without a table of `level` stay as they are; each
+    other group becomes one table with a number above all others. With gc, tombstones that reach `bottom` are collected:
+    all older versions of their keys are in the merge or have the tombstone's table above them no more. Windows run over
+    one row per table; no step reads an entry."""
+    pair = F.col("to_level").isin(level, level + 1)
+    order = Window.partitionBy("pair").orderBy("low", "high", "to_file")
+    before = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = plan.withColumn("pair", pair).withColumn("new", (before.isNull() | (F.col("low") > before)).cast("int"))
+    rows = rows.withColumn("grp", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    group = Window.partitionBy("pair", "grp")
+    rows = rows.withColumn("moved", F.col("pair") & (F.min("to_level").over(group) == level))
+    for name, value in (("low", F.min("low")), ("high", F.max("high"))):
+        rows = rows.withColumn(f"{name}_", value.over(group))
+    base = F.max("to_file").over(Window.partitionBy()) + 1
+    moved = lambda new, old: F.when(F.col("moved"), new).otherwise(F.col(old)).alias(old)
+    return rows.select(
+        "file_number",
+        "level",
+        moved(base + F.col("grp"), "to_file"),
+        moved(F.lit(level + 1), "to_level"),
+        moved(F.col("low_"), "low"),
+        moved(F.col("high_"), "high"),
+        moved(F.lit(gc and level + 1 == bottom), "collected"),
+    )
+
+
+def carried_out(tables: DataFrame, plan: DataFrame) -> DataFrame:
+    """The tables after a plan: each new table is merged once from all tables that went into it, on the way too, as the
+    lowest level's newest table wins at every step; tables that stay are not shuffled."""
+    rows = tables.join(plan.select("file_number", "level", "to_file", "to_level", "collected"), ["file_number", "level"])
+    stays = (F.col("file_number") == F.col("to_file")) & (F.col("level") == F.col("to_level"))
+    first = F.max_by(F.struct("val", "tombstone", "seq"), F.struct(-F.col("level"), F.col("file_number"))).alias("first")
+    new = rows.where(~stays).groupBy("to_file", "to_level", "collected", "key").agg(first).where(~(F.col("collected") & F.col("first.tombstone")))
+    new = new.select("key", "first.val", "first.tombstone", F.col("to_file").alias("file_number"), F.col("to_level").alias("level"), "first.seq")
+    return rows.where(stays).select(*new.columns).unionByName(new)
+
+
+def compact_into(tables: DataFrame, level: int, bottom: int | None = None, gc: bool = False, manifest: DataFrame | None = None) -> DataFrame:
+    """All tables after one step; the manifest is derived from the tables where it is not given."""
+    return carried_out(tables, step(planned(metadata(tables) if manifest is None else manifest), level, bottom, gc))
+
+
+def cascade(tables: DataFrame, bottom: int, gc: bool = False, manifest: DataFrame | None = None) -> DataFrame:
+    """All tables after every level down to `bottom` has gone into the next: all steps are planned on the manifest first,
+    then entries are merged once."""
+    plan = planned(metadata(tables) if manifest is None else manifest)
     for level in range(bottom):
-        tables = compact_into(tables, level, bottom, gc)
-    return tables
+        plan = step(plan, level, bottom, gc)
+    return carried_out(tables, plan)
 
 
 def oldest(manifest: DataFrame) -> DataFrame:

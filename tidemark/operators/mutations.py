@@ -20,9 +20,3 @@ def validated_deletes(log: DataFrame) -> DataFrame:
     """Deletes with accepted: whether the key was live just before. A second delete of a dead key is rejected."""
     before = F.lag("tombstone").over(Window.partitionBy("key").orderBy("seq"))
     return log.withColumn("accepted", F.coalesce(~before, F.lit(False))).where("tombstone").select("key", "seq", "accepted")
-
-
-def accepted_only(log: DataFrame) -> DataFrame:
-    """The log without the deletes that would be rejected."""
-    before = F.lag("tombstone").over(Window.partitionBy("key").orderBy("seq"))
-    return log.withColumn("_ok", ~F.col("tombstone") | F.coalesce(~before, F.lit(False))).where("_ok").drop("_ok")

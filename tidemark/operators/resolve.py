@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MISS = "Key does not exist"
@@ -24,7 +24,7 @@ def live(entries: DataFrame) -> DataFrame:
     return entries.where(~F.col("tombstone"))
 
 
-def precedence(tables: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
+def precedence(tables: DataFrame) -> DataFrame:
     """The entry of each key that a search finds first: lowest level, then newest table. Tombstones stay."""
     first = F.max_by(F.struct("val", "tombstone", "level", "file_number"), F.struct(-F.col("level"), F.col("file_number"))).alias("first")
     return tables.groupBy("key").agg(first).select("key", "first.val", "first.tombstone", "first.level", "first.file_number")

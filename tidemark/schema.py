@@ -23,9 +23,10 @@ RESPONSE = T.StructType().add("success", T.BooleanType(), False).add("message",
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """memtable_capacity counts distinct keys; levels run from 0 to max_levels."""
+    """memtable_capacity counts distinct keys; levels run from 0 to max_levels; a batch becomes tables of about table_entries."""
 
     base: str
     memtable_capacity: int = 3
     max_levels: int = 3
     gc_tombstones: bool = False
+    table_entries: int = 1_000_000

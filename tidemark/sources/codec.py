@@ -8,8 +8,10 @@ little-endian), key, value. A tombstone has no value.
 from __future__ import annotations
 
 import struct
+import uuid
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,16 +105,18 @@ def decode_records(data: bytes) -> list[tuple[str, str | None, bool]]:
     return out
 
 
-def read_tables(files: DataFrame, version: int = 2) -> DataFrame:
-    """Entries of a DataFrame with a `content` column, such as spark.read.format("binaryFile") gives."""
+def read_tables(files: DataFrame, version: int = 2, number: str | None = None) -> DataFrame:
+    """Entries of a DataFrame with a `content` column, such as spark.read.format("binaryFile") gives. Version 1 has no file
+    number inside; `number` names a column that has it."""
 
     def run(frames):
         for frame in frames:
-            for data in frame["content"]:
-                rows, time, number = decode_entries(bytes(data), version)
-                yield pd.DataFrame(rows, columns=["key", "val", "tombstone"]).assign(ts=time, file_number=number)
+            for given, data in zip(frame["number"], frame["content"]):
+                rows, time, own = decode_entries(bytes(data), version)
+                yield pd.DataFrame(rows, columns=["key", "val", "tombstone"]).assign(ts=time, file_number=given if number else own)
 
-    return files.select("content").mapInPandas(run, "key string, val string, tombstone boolean, ts bigint, file_number bigint")
+    given = F.col(number) if number else F.lit(None)
+    return files.select(given.cast("long").alias("number"), "content").mapInPandas(run, "key string, val string, tombstone boolean, ts bigint, file_number bigint")
 
 
 def read_log(files: DataFrame, segment: str = "segment") -> DataFrame:
@@ -136,3 +140,31 @@ def open_log(spark, path: str) -> DataFrame:
     """Records of all log files wal-<id> at a path or glob; segment is the id."""
     files = spark.read.format("binaryFile").load(path)
     return read_log(files.withColumn("segment", F.regexp_extract("path", r"wal-(\d+)$", 1).cast("long")))
+
+
+def write_files(files: DataFrame, folder: str, name: Column) -> DataFrame:
+    """Writes each `content` as a file of that name in a folder (a URI that pyarrow knows, or a shared path), from the tasks
+    that hold it; gives (path, bytes). A file appears whole: it is written beside and then moved, so a task may run again."""
+
+    def run(frames):
+        for frame in frames:
+            system, base = FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+            system.create_dir(base, recursive=True)
+            for file, data in zip(frame["name"], frame["content"]):
+                path, draft = f"{base}/{file}", f"{base}/_{file}.{uuid.uuid4().hex}"
+                with system.open_output_stream(draft) as out:
+                    out.write(bytes(data))
+                system.move(draft, path)
+            yield pd.DataFrame({"path": [f"{base}/{file}" for file in frame["name"]], "bytes": [len(x) for x in frame["content"]]})
+
+    return files.select(name.cast("string").alias("name"), "content").mapInPandas(run, "path string, bytes bigint")
+
+
+def write_tables(tables: DataFrame, folder: str, version: int = 2) -> DataFrame:
+    """A file table-<number> for each table."""
+    return write_files(encoded_tables(tables, version), folder, F.concat(F.lit("table-"), F.col("file_number").cast("string")))
+
+
+def write_log(log: DataFrame, segment: Column, folder: str) -> DataFrame:
+    """A file wal-<segment> for each segment of the log, as open_log reads it."""
+    return write_files(encoded_log(log, segment), folder, F.concat(F.lit("wal-"), F.col("segment").cast("string")))
