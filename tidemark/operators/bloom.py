@@ -29,18 +29,19 @@ def filters(tables: DataFrame) -> DataFrame:
     return words.groupBy("file_number").agg(known).select("file_number", full.alias("filter"))
 
 
-def holds(bitmap: Column, key: Column) -> Column:
-    """Whether all bits of the key are set."""
+def holds(bitmap: Column, places: Column) -> Column:
+    """Whether all these bits are set."""
     word = lambda p: F.element_at(bitmap, (F.floor(p / WORD) + 1).cast("int"))
-    return F.forall(positions(key), lambda p: F.call_function("shiftright", word(p), F.pmod(p, F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return F.forall(places, lambda p: F.call_function("shiftright", word(p), F.pmod(p, F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
 
 
 def may_contain(filters: DataFrame, manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, file_number) of the tables that may hold the key: it is in their range and all its bits are set. Never misses
     one that does. The range join's table side has a row for each table."""
     ranges = manifest.select("file_number", "min_key", "max_key").join(filters, "file_number")
-    near = keys.join(ranges, (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key")))
-    return near.where(holds(F.col("filter"), F.col("key"))).select("key", "file_number")
+    hashed = keys.select("key", positions(F.col("key")).alias("places"))
+    near = hashed.join(ranges, (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key")) & holds(F.col("filter"), F.col("places")))
+    return near.select("key", "file_number")
 
 
 def has(bitmap: list[int], key: str) -> bool:
