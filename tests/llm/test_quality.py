@@ -38,3 +38,6 @@ def test_odd_texts_and_tables(spark, documents, empty):
     only = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id bigint, quality int")
     assert quality.fit(features, only).constant == 1.0
     assert quality.statistics(empty).count() == 0
+    model = quality.Discriminant(((-0.7, np.zeros(13), np.eye(13), 0.0), (-0.7, np.ones(13), 2 * np.eye(13), -1.0)))
+    both = quality.score_texts(quality.score(features, model, out="apart"), model).collect()
+    assert len(both) == documents.count() and all(r["score"] == r["apart"] for r in both) and quality.score_texts(empty, model).count() == 0

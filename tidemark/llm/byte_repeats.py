@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import with_field
+from .common import release, with_field
 from .repeats import covered, repeated_starts, with_spans
 from .words import joined, powers, spread
 
@@ -213,6 +213,7 @@ def cut_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = Fa
                         o.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(3 + k) for k in range(len(carry))), part.column(0), *(pa.array(o, k) for o, k in zip(out, kinds))], names=[*carry, "doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+        release()
 
     schema = with_field(docs.select(*carry), ("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept", "string" if as_text else "binary"), ("kept_sha256", "string"))
     out = joined_rows.mapInArrow(cut, schema)

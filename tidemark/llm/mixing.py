@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, texts, with_field, written
+from .common import release, slices, texts, with_field, written
 
 WEIGHTS = (5, 2, 1)
 #: The mix is so many times the corpus; no source is taken more than CAP times.
@@ -143,6 +143,7 @@ def take(mixed: DataFrame, columns: list[str]) -> DataFrame:
                 new = part.take(pa.array(rows, pa.int64())).select(columns)
                 fields = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(x) for x in out], pa.int64())}
                 yield pa.RecordBatch.from_arrays([fields.get(c, new.column(k)) for k, c in enumerate(columns)], names=columns)
+        release()
 
     schema = with_field(mixed.select(*columns))
     return mixed.where("taken > 0").select(*names).mapInArrow(run, schema)

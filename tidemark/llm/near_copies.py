@@ -312,6 +312,7 @@ def _pack(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 1000)
                 data = [packer.compress((x or "").encode("utf-8", "surrogatepass")) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "packed"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, packed binary")
 

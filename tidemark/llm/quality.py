@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, texts, with_columns, with_field
+from .common import fold, release, texts, with_columns, with_field
 
 STATISTICS = ("words", "word_length", "variety", "upper", "symbols", "digits", "marked_words", "short_words", "line_rate", "repeated_lines", "commonest_byte", "non_ascii", "echoes")
 #: Shares of the pooled covariance and of the scaled identity in each class covariance.
@@ -71,6 +71,7 @@ def statistics(df: DataFrame, text: str = "text", out: str = "statistics", drop:
                 part = batch.slice(at, 1000)
                 rows = [document_statistics(x) for x in texts(part.column(col))]
                 yield with_columns(part, {out: pa.array(rows, pa.list_(pa.float64()))}, drop)
+        release()
 
     return df.mapInArrow(run, with_field(df, (out, "array<double>"), drop=drop))
 
@@ -148,5 +149,20 @@ def score(df: DataFrame, model: Discriminant, statistics: str = "statistics", ou
     return df.mapInArrow(run, with_field(df, (out, "double")))
 
 
+def score_texts(df: DataFrame, model: Discriminant, text: str = "text", out: str = "score") -> DataFrame:
+    """df with the score of each whole text, in one Python stage; null counts as empty."""
+    col = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                x = np.array([document_statistics(t) for t in texts(part.column(col))])
+                yield with_columns(part, {out: pa.array(model.score(x), pa.float64())})
+        release()
+
+    return df.mapInArrow(run, with_field(df, (out, "double")))
+
+
 def keep(score: Column, least: float = 0.3) -> Column:
     return score >= least

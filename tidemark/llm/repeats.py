@@ -30,7 +30,7 @@ from .common import release, slices, with_field, written
 from .words import spread
 
 #: Stretches that a task gathers before it sends them; bytes of text that it looks at a time; bytes compared at a time.
-GATHERED, BLOCK, COMPARED = 1_000_000, 1_000_000, 1_500_000
+GATHERED, BLOCK, COMPARED = 800_000, 1_000_000, 1_500_000
 
 #: Stretches whose contents, and parts of stretches, that a task holds at a time.
 FETCHED, PARTS = 10_000, 50_000
@@ -116,6 +116,7 @@ def _pack(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                 data = [packer.compress((x or "").encode("utf-8", "surrogatepass")) for x in part.column(2).to_pylist()]
                 columns = [*(part.column(3 + k) for k in range(len(carry))), part.column(0), part.column(1), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*carry, "id", "doc_id", "packed"])
+        release()
 
     rows = docs.select(identity().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
     return rows.mapInArrow(run, schema).select("id", "doc_id", "packed", *carry)
@@ -183,6 +184,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _record([*(c[chosen] for c in rows[:6]), np.full(int(chosen.sum()), OPEN, np.int8)])
         keep = np.unique([np.flatnonzero(new_key)[-1], len(key) - 1])
         carry = [c[keep] for c in rows[:7]] + [(told | chosen | mark | twice)[keep]]
+    release()
 
 
 def _many(rows: DataFrame) -> DataFrame:
@@ -234,6 +236,8 @@ def _cut_again(rows: DataFrame, width: int, content_of: Callable) -> DataFrame:
                 held = []
         if held:
             yield _parts_once(held)
+        held = []
+        release()
 
     return rows.mapInArrow(run, _CONTENT)
 
@@ -298,6 +302,8 @@ def repeated_starts(docs: DataFrame, stretches_of: Callable, content_of: Callabl
             yield told()
         if parts:
             yield _parts_once(parts)
+        whole, content, parts = [], [], []
+        release()
 
     contents = fetched.mapInArrow(fetch, _CONTENT)
     spans = found.where(F.col("kind") == KNOWN).select("doc_id", "start", "n")
@@ -331,6 +337,7 @@ def repeated_starts(docs: DataFrame, stretches_of: Callable, content_of: Callabl
             first = np.flatnonzero(new)
             n = np.diff(np.append(first, len(row)))
             yield _record([doc[row[first]], at[first].astype(np.int32), n.astype(np.int32)], ["doc_id", "start", "n"])
+        release()
 
     more = contents.mapInArrow(compared, "doc_id bigint, start int, n int")
     return spans.unionByName(more).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import with_field
+from .common import release, with_field
 from .repeats import covered, repeated_starts, with_spans
 from .words import joined, powers, spread, word_hashes, word_spans
 
@@ -206,6 +206,7 @@ def cut_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                         o.append(v)
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(3 + k) for k in range(len(carry))), part.column(0), *(pa.array(o, k) for o, k in zip(out, kinds))], names=[*carry, "doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
+        release()
 
     schema = with_field(docs.select(*carry), ("doc_id", "bigint"), ("n_words", "bigint"), ("n_removed", "bigint"), ("kept", "string"), ("kept_sha256", "string"))
     out = rows.mapInArrow(cut, schema)
