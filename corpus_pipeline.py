@@ -23,7 +23,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     features = written(quality.statistics(docs.select("doc_id", "text"), drop=("text",)), "statistics")
     model = quality.fit(features, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(quality.statistics(docs), model).where(quality.keep(F.col("score"))).select(*COLUMNS)
+    return quality.score_texts(docs, model).where(quality.keep(F.col("score"))).select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
