@@ -131,13 +131,14 @@ def test_languages(spark, empty):
         rows.append((k, " ".join(draw.choice(pools[lang]) + draw.choice(["", "s", "en"]) for _ in range(30)), lang))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     model = language.fit(language.sample(docs))
-    odd = [(900, None, None), (901, "123 !!", None), (902, "", "en"), (903, "", None)]
+    odd = [(900, None, None), (901, "123 !!", None), (902, "", "en"), (903, "½ ² Ⅷ ①", None)]
     got = language.predict(docs.unionByName(spark.createDataFrame(odd, docs.schema)), model).collect()
     assert all(r["lang_pred"] == r["lang"] for r in got if r["doc_id"] < 900)
     assert {r["lang_pred"] for r in got if r["doc_id"] >= 900} == {"und"}
     assert all(0 <= r["score"] <= 1 for r in got)
     assert language.predict(empty, model).count() == 0
     assert language.fit(language.sample(empty)).languages == []
+    assert language.words_of("Ab½c x9y ² Ñé 一") == ["ab", "c", "x", "y", "ñé", "一"]
     # words of a switched text are told apart
     import numpy as np
 

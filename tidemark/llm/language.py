@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import fold, slices, texts, with_columns, with_field
 
-#: Characters that count as parts of words although they are numbers and no letters, such as fractions.
-_NUMERALS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+WORD = re.compile(r"[^\W\d_]+")
+#: Characters that WORD takes although they are numbers and no letters, such as fractions.
+_NUMERAL = re.compile("[" + "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]")
 UNKNOWN = "und"
 #: Training sample: about so many slices of text for each language, and the characters of a slice.
 SAMPLE_SLICES, SLICE_CHARS = 300, 1000
@@ -36,6 +36,14 @@ KEPT_WORDS, BLOCK = 400_000, 6_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in small letters."""
+    low = text.lower()
+    if not low.isascii() and _NUMERAL.search(low):
+        low = _NUMERAL.sub(" ", low)
+    return WORD.findall(low)
+
+
 def _spread(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _MIX
     return h ^ (h >> np.uint64(29))
@@ -154,7 +162,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> ChainField:
     stretches: list[tuple[int, list[str]]] = []
     holders: dict[str, set[int]] = {}
     for n, (lang, text) in enumerate(rows):
-        found = WORD.findall(text.lower())
+        found = words_of(text)
         if not found:
             continue
         for w in found:
@@ -233,7 +241,7 @@ def predict(df: DataFrame, model: ChainField, text: str = "text", drop: tuple[st
             sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32, len(column) + 1 + column.offset)[column.offset :]) if len(column) else np.zeros(0)
             for a, b in slices(sizes, BLOCK):
                 part = batch.slice(a, b - a)
-                found = [WORD.findall(x.lower()) for x in texts(part.column(col))]
+                found = [words_of(x) for x in texts(part.column(col))]
                 if len(known) > KEPT_WORDS:
                     known, table = {}, table[:0]
                 new = list(set().union(*found) - known.keys())
