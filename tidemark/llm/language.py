@@ -22,7 +22,7 @@ from .common import fold, slices, texts, with_columns, with_field
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Characters that WORD takes although they are numbers and no letters, such as fractions.
-_NUMERAL = re.compile("[" + "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]")
+_NUMERALS = frozenset(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 UNKNOWN = "und"
 #: Training sample: about so many slices of text for each language, and the characters of a slice.
 SAMPLE_SLICES, SLICE_CHARS = 300, 1000
@@ -39,8 +39,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def words_of(text: str) -> list[str]:
     """The runs of letters of a text, in small letters."""
     low = text.lower()
-    if not low.isascii() and _NUMERAL.search(low):
-        low = _NUMERAL.sub(" ", low)
+    if not low.isascii() and not _NUMERALS.isdisjoint(low):
+        low = low.translate(dict.fromkeys(map(ord, _NUMERALS.intersection(low)), " "))
     return WORD.findall(low)
 
 
