@@ -59,6 +59,20 @@ def test_typed_parts(spark):
         assert r["formatted"][a["at"] : a["at"] + len(mark)] == mark
 
 
+def test_a_long_conversation_with_equal_turns(spark):
+    """Equal turns go by role, then text; repeated rows stay; all spans of a conversation of 6,000 turns are where the texts are."""
+    rows = [(1, k // 3, "assistant" if k % 3 == 1 else None if k % 3 == 2 else "user", f"{'a' * (k % 5)}<s>[INST] {k % 7}") for k in range(5_998)]
+    rows += [(1, None, "assistant", "first")] * 2 + [(None, 0, "assistant", "own")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    parts = df.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))
+    out = {r["conv_id"]: r for r in chat.format_chats(parts).select("conv_id", chat.read_back(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss_mask")).alias("said"), F.size("loss_mask").alias("spans")).collect()}
+    want = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3]) for r in rows if r[0] == 1))
+    assert [(t["role"], t["body"]) for t in out[1]["turns"]] == [w[2:] for w in want]
+    said = [w[3] for w in want if w[2] == "assistant"]
+    assert out[1]["said"] == "".join(said) and out[1]["spans"] == len(said)
+    assert out[None]["said"] == "own"
+
+
 def test_mix(spark, documents, corpus, empty):
     sized = documents.withColumn("size", mixing.size_of(F.col("text")))
     mixed = mixing.mix(sized).cache()

@@ -12,7 +12,7 @@ away gives the text back. So no text, whatever it holds, can show a control stri
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART = "struct<kind:string,text:string,ref:string,tokens:int>"
@@ -106,56 +106,37 @@ def format_chats(messages: DataFrame, loss_role: str = "assistant") -> DataFrame
     A null conv_id is a conversation of its own. An empty table gives no rows; other columns are ignored. All of a
     conversation meets in one row, as its string must.
     """
-    body = flatten_parts(messages.select("conv_id", "turn", "role", "parts")).drop("parts")
-    rows = body.withColumn("role", F.coalesce("role", F.lit(""))).groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "body", "attachments", "expanded_tokens"))).alias("turns")
+    rows = flatten_parts(messages.select("conv_id", "turn", "role", "parts")).drop("parts").withColumn("role", F.coalesce("role", F.lit("")))
+    rows = rows.withColumn("head", F.concat(F.lit(HEAD), escape(F.col("role")), F.lit(HEAD_END)))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "body", "attachments", "expanded_tokens")
+    size = F.length("head") + F.length("body") + len(END)
+    # running sums over a conversation's turns, dealt as the groups are: no second shuffle, and linear in the turns
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.select("*", (F.row_number().over(order) - 1).alias("n"), (before + F.length("head")).alias("start"))
+    turn = F.struct(
+        "n",
+        "start",
+        F.length("body").cast("long").alias("chars"),
+        (F.col("role") == loss_role).alias("learnt"),
+        "attachments",
+        F.concat("head", "body", F.lit(END)).alias("shown"),
     )
-    rows = rows.withColumn(
+    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.sum("expanded_tokens").alias("expanded_tokens"))
+    placed = F.transform(
         "turns",
-        F.transform(
-            "turns",
-            lambda t: F.struct(
-                F.concat(F.lit(HEAD), escape(t["role"]), F.lit(HEAD_END)).alias("head"),
-                t["body"].alias("body"),
-                F.length(t["body"]).alias("chars"),
-                (t["role"] == loss_role).alias("learnt"),
-                t["attachments"].alias("attachments"),
-                t["expanded_tokens"].alias("expanded"),
+        lambda t: F.transform(
+            t["attachments"],
+            lambda a: F.struct(
+                t["n"].alias("turn_number"), a["kind"].alias("kind"), a["ref"].alias("ref"), (t["start"] + a["at"]).alias("at"), a["tokens"].alias("tokens")
             ),
         ),
     )
-    # where each body starts: running sum of what stands before it
-    starts = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")),
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t["head"]) + t["chars"] + len(END)).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"] + F.length(t["head"]))).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
-    rows = rows.withColumn("starts", starts)
-    spans = F.transform(
-        F.filter(F.arrays_zip(F.col("turns").alias("t"), F.col("starts").alias("s")), lambda z: z["t"]["learnt"]),
-        lambda z: F.struct(z["s"].alias("start"), z["t"]["chars"].cast("long").alias("chars")),
-    )
-    placed = F.flatten(
-        F.transform(
-            F.arrays_zip(F.col("turns").alias("t"), F.col("starts").alias("s"), F.sequence(F.lit(0), F.size("turns") - 1).alias("n")),
-            lambda z: F.transform(
-                z["t"]["attachments"],
-                lambda a: F.struct(
-                    z["n"].alias("turn_number"), a["kind"].alias("kind"), a["ref"].alias("ref"), (z["s"] + a["at"]).alias("at"), a["tokens"].alias("tokens")
-                ),
-            ),
-        )
-    )
     return rows.select(
         "conv_id",
-        F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"),
-        spans.alias("loss_mask"),
-        placed.alias("attachments"),
-        F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + t["expanded"]).alias("expanded_tokens"),
+        F.array_join(F.transform("turns", lambda t: t["shown"]), "").alias("formatted"),
+        F.transform(F.filter("turns", lambda t: t["learnt"]), lambda t: F.struct(t["start"].alias("start"), t["chars"].alias("chars"))).alias("loss_mask"),
+        F.flatten(placed).alias("attachments"),
+        "expanded_tokens",
     )
 
 
