@@ -30,7 +30,7 @@ def digest(form: bytes) -> str:
     return xxhash.xxh3_128_hexdigest(form)
 
 
-def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", drop: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", drop: tuple[str, ...] = (), name=digest) -> DataFrame:
     """df with the canonical digest of each whole text; null counts as empty. Equal canonical forms, equal digests."""
     col = df.columns.index(text)
 
@@ -38,7 +38,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", dr
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                yield with_columns(part, {out: pa.array([digest(canonical(x)) for x in texts(part.column(col))], pa.string())}, drop)
+                yield with_columns(part, {out: pa.array([name(canonical(x)) for x in texts(part.column(col))], pa.string())}, drop)
 
     return df.mapInArrow(run, with_field(df, (out, "string"), drop=drop))
 
@@ -56,13 +56,13 @@ def same_bytes(forms: DataFrame) -> DataFrame:
 
 _RESULT = (
     "kind string, part int, doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string,"
-    " near_edited double, near_next double, form binary, packed binary, next_packed binary"
+    " near_edited double, near_next double, edited_form_sha binary, form binary, packed binary, next_packed binary"
 )
 _NAMES = [x.split()[0] for x in _RESULT.split(",")]
 _BLOCK = 400
 
 
-def _compared(doc_id, text: str, form: bytes, following: str, next_form: bytes, kept: bytes | None) -> dict:
+def _compared(name, doc_id, text: str, form: bytes, following: str, next_form: bytes, kept: bytes | None) -> dict:
     half = len(text) // 2
     edited = text[: len(text) - half] + following[:half]
     edited_form = canonical(edited)
@@ -71,30 +71,32 @@ def _compared(doc_id, text: str, form: bytes, following: str, next_form: bytes,
         "doc_id": doc_id,
         "n_chars": len(text),
         "edited_sha256": hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
-        "fingerprint": digest(form),
-        "edited_fingerprint": digest(edited_form),
+        "fingerprint": name(form),
+        "edited_fingerprint": name(edited_form),
         "near_edited": float(form == edited_form),
         "near_next": float(form == next_form),
+        "edited_form_sha": hashlib.sha256(edited_form).digest(),
         "form": kept,
     }
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = dict(zip(_NAMES, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())))
+    kinds = dict(zip(_NAMES, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), *[pa.binary()] * 4)))
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kind) for n, kind in kinds.items()], names=_NAMES)
 
 
-def edit_likeness(docs: DataFrame) -> DataFrame:
+def edit_likeness(docs: DataFrame, name=digest) -> DataFrame:
     """For each row of (doc_id, text): its fingerprint, the digest and fingerprint of its edited text (the last half of
     its code points replaced by the first as many of the next document by doc_id; the first follows the last), and
     whether its canonical form is that of the edited text and of the next document (1 or 0).
 
     Null texts are empty; a single document follows itself; null ids come first; rows of equal id follow each other by
-    text; repeated rows all stay. No rows give no rows. Texts are packed with zstd and dealt by ranges of doc_id once;
+    text; repeated rows all stay. No rows give no rows. Where forms of documents differ under one digest, each gets its
+    ordinal, and so does an edited text with such a form (told by its SHA-256 beside the digest). Texts are packed with zstd and dealt by ranges of doc_id once;
     the edges between ranges are two rows per range.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    hashed = written(fingerprints(docs, drop=("text",)), "digests")
+    hashed = written(fingerprints(docs, drop=("text",), name=name), "digests")
     # written, so that the join's two sides are plain exchanges, of which Spark can split a hot one
     shared = written(hashed.groupBy("fingerprint").count().where("count > 1").select("fingerprint"), "shared")
     marked = hashed.join(shared, "fingerprint", "left_semi").select("doc_id").distinct()
@@ -128,7 +130,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
                 if before is None:
                     rows.append({"kind": "first", "part": part, "packed": data})
                 else:
-                    rows.append(_compared(*before[:3], text, form, before[3]))
+                    rows.append(_compared(name, *before[:3], text, form, before[3]))
                 before = (doc_id, text, form, kept, data)
                 if len(rows) >= _BLOCK:
                     yield _batch(rows)
@@ -151,14 +153,21 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
             rows = []
             for r in batch.to_pylist():
                 text, following = (unpack(r[k]).decode("utf-8", "surrogatepass") for k in ("packed", "next_packed"))
-                rows.append(_compared(r["doc_id"], text, canonical(text), following, canonical(following), r["form"]))
+                rows.append(_compared(name, r["doc_id"], text, canonical(text), following, canonical(following), r["form"]))
             yield _batch(rows)
 
+    def told(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            shas = [hashlib.sha256(unpack(x)).digest() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.binary()), batch.column(2)], names=["edited_fingerprint", "edited_form_sha", "edited_rank"])
+
     rows = out.where("kind = 'row'").unionByName(lasts.mapInArrow(close, _RESULT))
     clashes = same_bytes(rows.where("form IS NOT NULL").select("doc_id", "fingerprint", "form"))
     if not clashes.isEmpty():
         clashes = written(clashes, "clashes")
-        rows = rows.join(clashes, ["fingerprint", "form"], "left").withColumn(
-            "fingerprint", F.when(F.col("rank").isNull(), F.col("fingerprint")).otherwise(F.concat_ws("-", "fingerprint", "rank"))
-        )
+        edited = clashes.select("fingerprint", "form", "rank").mapInArrow(told, "edited_fingerprint string, edited_form_sha binary, edited_rank int")
+        rows = rows.join(clashes, ["fingerprint", "form"], "left").join(edited, ["edited_fingerprint", "edited_form_sha"], "left")
+        for of, rank in (("fingerprint", "rank"), ("edited_fingerprint", "edited_rank")):
+            rows = rows.withColumn(of, F.when(F.col(rank).isNull(), F.col(of)).otherwise(F.concat_ws("-", of, rank)))
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
