@@ -9,7 +9,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidemark.plans.catalogue import ORACLE_SQL, QUERIES
+from tidemark.plans import catalogue, stored  # noqa: F401, they register their queries
+from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 

@@ -25,6 +25,16 @@ def overlapping(manifest: DataFrame, probes: DataFrame) -> DataFrame:
     return probes.join(manifest, (F.col("min_key") <= F.col("hi")) & (F.col("max_key") >= F.col("lo"))).select("probe", "file_number")
 
 
+def permitted(manifest: DataFrame) -> DataFrame:
+    """(level, n_tables, n_overlapping, allowed): how many tables of a level start inside the range of one before them; only
+    level 0 may have such tables. The window runs over one row per table."""
+    order = Window.partitionBy("level").orderBy("min_key", "max_key", "file_number")
+    inside = F.col("min_key") <= F.max("max_key").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = manifest.withColumn("inside", F.coalesce(inside, F.lit(False)))
+    rows = rows.groupBy("level").agg(F.count("*").alias("n_tables"), F.count_if("inside").alias("n_overlapping"))
+    return rows.withColumn("allowed", (F.col("level") == 0) | (F.col("n_overlapping") == 0))
+
+
 def merged(entries: DataFrame) -> DataFrame:
     """Entries with grp and key once per group: the lowest level's newest table wins; tombstones stay."""
     first = F.max_by(F.struct("val", "tombstone", "seq"), F.struct(-F.col("level"), F.col("file_number"))).alias("first")

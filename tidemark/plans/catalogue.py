@@ -1,4 +1,4 @@
-"""The queries of the store over the driver's tables, and the SQL that each must equal."""
+"""The queries over the driver's tables as logs and tables, and the SQL that each must equal."""
 
 from __future__ import annotations
 
@@ -8,23 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import commands, workload
 from ..operators import bloom, compact, cursor, flush, mutations, resolve
 from ..sources import codec
-from .views import SEGMENT, SQL, m_events, m_orders, m_parts, mix_tables, order_tables, read
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None, *views: str):
-    """Registers a query under its function's name, with SQL that may use the named views."""
-
-    def register(run):
-        QUERIES[run.__name__] = run
-        if sql:
-            ORACLE_SQL[run.__name__] = ("WITH " + ",\n".join(SQL[v] for v in views) + "\n" if views else "") + sql
-        return run
-
-    return register
-
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from .views import SEGMENT, m_events, m_orders, mix_tables, order_tables, read
 
 _LATEST = "(SELECT key, arg_max({'val': val, 'tombstone': tombstone}, seq) AS last, max(seq) AS seq FROM m_events GROUP BY key)"
 _LATEST_ROWS = f"SELECT key, last.val AS val, last.tombstone AS tombstone, seq FROM {_LATEST}"
@@ -417,6 +402,13 @@ def space_amplification(spark: SparkSession, d: str) -> DataFrame:
     return log.groupBy("key").agg(newest, F.count("*").alias("n")).agg(F.sum("n").alias("written"), F.count(F.when(~F.col("dead"), 1)).alias("live"))
 
 
-@query("SELECT key, val, tombstone, seq, (seq - (SELECT min(seq) FROM m_parts)) // 128 AS file_number FROM m_parts", "m_parts")
+@query(
+    """, e AS (SELECT *, row_number() OVER (ORDER BY seq) AS rn, coalesce(lag(seq) OVER (PARTITION BY key ORDER BY seq), -1) AS before FROM m_events),
+starts AS (SELECT 0 AS file_number, min(seq) AS first FROM e
+  UNION ALL SELECT any_value(s.file_number) + 1, list_sort(list(e.seq))[128] + 1 FROM starts s JOIN e ON e.seq >= s.first AND e.before < s.first HAVING count(*) >= 128)
+SELECT key, val, tombstone, seq, CAST(file_number AS BIGINT) AS file_number FROM e ASOF JOIN starts ON e.seq >= starts.first""",
+    "m_events",
+    recursive=True,
+)
 def exact_memtable_segments(spark: SparkSession, d: str) -> DataFrame:
-    return flush.exact_segments(m_parts(spark, d), SEGMENT)
+    return flush.exact_segments(m_events(spark, d), SEGMENT)

@@ -31,10 +31,6 @@ def m_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(*_log(_padded("c", "o_custkey", 8), F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus") == "F"))
 
 
-def m_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select(*_log(_padded("k", "p_partkey", 15), F.col("p_partkey"), F.col("p_name"), F.lit(False)))
-
-
 def mix_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables that overlap in part: puts in tables of level 1, overwrites and deletes in newer ones of level 0."""
     part = read(spark, sf_dir, "part").withColumn("key", _padded("k", "p_partkey", 15)).withColumn("pk", F.col("p_partkey"))
@@ -58,7 +54,6 @@ def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "m_events": "m_events AS (SELECT 'u' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, CASE WHEN event_type <> 'error' THEN props END AS val, event_type = 'error' AS tombstone, event_id AS seq FROM events)",
     "m_orders": "m_orders AS (SELECT 'c' || lpad(CAST(o_custkey AS VARCHAR), 8, '0') AS key, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS val, o_orderstatus = 'F' AS tombstone, o_orderkey AS seq FROM orders)",
-    "m_parts": "m_parts AS (SELECT 'k' || lpad(CAST(p_partkey AS VARCHAR), 15, '0') AS key, p_name AS val, false AS tombstone, p_partkey AS seq FROM part)",
     "mix": """p AS (SELECT 'k' || lpad(CAST(p_partkey AS VARCHAR), 15, '0') AS key, p_partkey AS pk, p_name, p_brand FROM part),
 mix AS (
   SELECT key, p_name AS val, false AS tombstone, pk // 128 AS file_number, 1 AS level, pk AS seq FROM p

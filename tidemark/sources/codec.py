@@ -48,12 +48,15 @@ def record_hex() -> Column:
 
 
 def encoded_tables(tables: DataFrame, version: int = 2) -> DataFrame:
-    """(file_number, content): each table as one file's bytes, entries in key order; the trailer's time is the newest seq."""
-    rows = tables.groupBy("file_number").agg(F.sort_array(F.collect_list(F.struct("key", entry_hex().alias("hex")))).alias("rows"), F.max("seq").alias("ts"))
+    """(file_number, level, content): each table as one file's bytes, entries in key order; the trailer's time is the newest
+    seq."""
+    rows = tables.groupBy("file_number").agg(
+        F.sort_array(F.collect_list(F.struct("key", entry_hex().alias("hex")))).alias("rows"), F.max("seq").alias("ts"), F.max("level").alias("level")
+    )
     trailer = _little(F.col("ts"), 16)
     if version == 2:
         trailer = F.concat(trailer, _little(F.col("file_number"), 16))
-    return rows.select("file_number", F.unhex(F.concat(F.array_join("rows.hex", ""), trailer)).alias("content"))
+    return rows.select("file_number", "level", F.unhex(F.concat(F.array_join("rows.hex", ""), trailer)).alias("content"))
 
 
 def encoded_log(log: DataFrame, segment: Column) -> DataFrame:
@@ -105,18 +108,20 @@ def decode_records(data: bytes) -> list[tuple[str, str | None, bool]]:
     return out
 
 
-def read_tables(files: DataFrame, version: int = 2, number: str | None = None) -> DataFrame:
+def read_tables(files: DataFrame, version: int = 2, number: str | None = None, level: str | None = None) -> DataFrame:
     """Entries of a DataFrame with a `content` column, such as spark.read.format("binaryFile") gives. Version 1 has no file
-    number inside; `number` names a column that has it."""
+    number inside; `number` names a column that has it. `level` names a column to carry along."""
 
     def run(frames):
         for frame in frames:
-            for given, data in zip(frame["number"], frame["content"]):
+            for given, at, data in zip(frame["number"], frame["level"], frame["content"]):
                 rows, time, own = decode_entries(bytes(data), version)
-                yield pd.DataFrame(rows, columns=["key", "val", "tombstone"]).assign(ts=time, file_number=given if number else own)
+                out = pd.DataFrame(rows, columns=["key", "val", "tombstone"]).assign(ts=time, file_number=given if number else own)
+                yield out.assign(level=at) if level else out
 
-    given = F.col(number) if number else F.lit(None)
-    return files.select(given.cast("long").alias("number"), "content").mapInPandas(run, "key string, val string, tombstone boolean, ts bigint, file_number bigint")
+    given, at = F.col(number) if number else F.lit(None), F.col(level) if level else F.lit(None)
+    kind = "key string, val string, tombstone boolean, ts bigint, file_number bigint" + (", level int" if level else "")
+    return files.select(given.cast("long").alias("number"), at.cast("int").alias("level"), "content").mapInPandas(run, kind)
 
 
 def read_log(files: DataFrame, segment: str = "segment") -> DataFrame:
@@ -149,9 +154,9 @@ def write_files(files: DataFrame, folder: str, name: Column) -> DataFrame:
     def run(frames):
         for frame in frames:
             system, base = FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-            system.create_dir(base, recursive=True)
             for file, data in zip(frame["name"], frame["content"]):
-                path, draft = f"{base}/{file}", f"{base}/_{file}.{uuid.uuid4().hex}"
+                path, draft = f"{base}/{file}", f"{base}/_{file.replace('/', '-')}.{uuid.uuid4().hex}"
+                system.create_dir(path.rpartition("/")[0], recursive=True)
                 with system.open_output_stream(draft) as out:
                     out.write(bytes(data))
                 system.move(draft, path)
@@ -165,6 +170,21 @@ def write_tables(tables: DataFrame, folder: str, version: int = 2) -> DataFrame:
     return write_files(encoded_tables(tables, version), folder, F.concat(F.lit("table-"), F.col("file_number").cast("string")))
 
 
+def write_levels(tables: DataFrame, folder: str, version: int = 2) -> DataFrame:
+    """A file level-<level>/table-<number> for each table."""
+    name = F.concat(F.lit("level-"), F.col("level").cast("string"), F.lit("/table-"), F.col("file_number").cast("string"))
+    return write_files(encoded_tables(tables, version), folder, name)
+
+
+def open_levels(spark, folder: str, most: int, version: int = 2) -> DataFrame:
+    """Entries with the level of all files level-<level>/table-<number> in a folder, up to level `most`; folders and files of
+    other names are left out."""
+    found = spark.read.format("binaryFile").load(f"{folder}/level-*/table-*")
+    level, number = (F.regexp_extract("path", r"/level-([0-9]+)/table-([0-9]+)$", k) for k in (1, 2))
+    files = found.where(level != "").select(level.cast("int").alias("level"), number.cast("long").alias("number"), "content")
+    return read_tables(files.where(F.col("level") <= most), version, "number", "level")
+
+
 def write_log(log: DataFrame, segment: Column, folder: str) -> DataFrame:
     """A file wal-<segment> for each segment of the log, as open_log reads it."""
     return write_files(encoded_log(log, segment), folder, F.concat(F.lit("wal-"), F.col("segment").cast("string")))
