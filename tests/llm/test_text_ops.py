@@ -177,3 +177,55 @@ def test_forward_backward_against_paths():
     assert np.allclose(p, want / want.sum(axis=1, keepdims=True))
 
 
+
+
+def test_slopes_against_differences():
+    """The slopes that training follows are those of the log likelihood, summed over all paths by hand."""
+    import itertools
+
+    import numpy as np
+
+    texts = [("en", "the water"), ("de", "der schön"), ("en", "was thing the"), ("de", "nicht"), ("en", "water"), ("de", "ich der")] * 2
+    model, training = language.prepared(texts, np.random.default_rng(3))
+    rng = np.random.default_rng(8)
+    model.grams, model.entries = rng.normal(size=model.grams.shape) / 4, rng.normal(size=model.entries.shape)
+    model.grams[0], model.entries[-1] = 0, 0
+    model.transitions = rng.normal(size=(2, 2))
+    assert len(model.entries) > 2 and training.lengths.max() <= 9
+
+    def likelihood():
+        e, total, at = training.emissions(model), 0.0, 0
+        for n in training.lengths:
+            weight = lambda path: sum(e[at + k, c] for k, c in enumerate(path)) + sum(model.transitions[a, b] for a, b in zip(path, path[1:]))  # noqa: B023, E731
+            total += weight(training.label[at : at + n]) - np.logaddexp.reduce([weight(p) for p in itertools.product(range(2), repeat=int(n))])
+            at += n
+        return total
+
+    slopes, step = training.slopes(model), 1e-5
+    used = np.unique(np.concatenate(training.grams))[1:]
+    chosen = [(model.grams, slopes[0], (int(k), c)) for k in rng.choice(used, 8, replace=False) for c in (0, 1)]
+    chosen += [(model.entries, slopes[1], (k, c)) for k in range(len(model.entries) - 1) for c in (0, 1)]
+    chosen += [(model.transitions, slopes[2], (a, b)) for a in (0, 1) for b in (0, 1)]
+    for weights, slope, at in chosen:
+        before = weights[at]
+        weights[at] = before + step
+        above = likelihood()
+        weights[at] = before - step
+        below = likelihood()
+        weights[at] = before
+        assert abs((above - below) / (2 * step) - slope[at]) < 1e-6
+    assert not slopes[0][0].any() and not slopes[1][-1].any()
+
+
+def test_training_raises_the_likelihood(monkeypatch):
+    import numpy as np
+
+    texts = [("en", "the water was the thing " * 3), ("de", "der schön ich nicht über " * 3), ("es", "el niño agua que mañana " * 3)] * 4
+    right = []
+    for rounds in (0, 1, 5, 20):
+        monkeypatch.setattr(language, "ROUNDS", rounds)
+        model = language.fit(texts)
+        training = language.prepared(texts, np.random.default_rng(5))[1]
+        p, _, _ = language.posteriors(training.emissions(model), model.transitions, training.lengths)
+        right.append(np.log(p[np.arange(len(p)), training.label]).mean())
+    assert right == sorted(right) and right[-1] > -0.05

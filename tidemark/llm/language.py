@@ -151,12 +151,55 @@ def _whole_words(part: str, more_before: bool, more_after: bool) -> str:
     return part[low:high]
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 5) -> ChainField:
-    """Learns the field from the sample by adaptive gradient steps on the likelihood of code-switched sequences.
+@dataclass
+class Training:
+    """Sequences of words that lie one after another: each word's place in a vocabulary and its language, the sequences'
+    lengths, and the vocabulary's n-gram buckets, starts and lexicon rows."""
+
+    word: np.ndarray
+    label: np.ndarray
+    lengths: np.ndarray
+    grams: list[np.ndarray]
+    starts: np.ndarray
+    rows: np.ndarray
+
+    def emissions(self, model: ChainField) -> np.ndarray:
+        total = model.entries[self.rows].astype(np.float64)
+        for g in self.grams:
+            total += np.add.reduceat(model.grams[g], self.starts, axis=0)
+        return total[self.word]
+
+    def slopes(self, model: ChainField) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The slope of the log likelihood of all sequences by the n-gram weights, the entries and the transitions: what is
+        there less what the model expects."""
+        many, vocabulary = len(model.languages), len(self.rows)
+        inside = np.ones(len(self.word), bool)
+        inside[np.cumsum(self.lengths) - 1] = False
+        pairs = np.flatnonzero(inside)  # words that have a next one
+        e = self.emissions(model)
+        p, forward, backward = posteriors(e, model.transitions, self.lengths)
+        scaled = np.exp(e - e.max(axis=1, keepdims=True))
+        joint = forward[pairs][:, :, None] * np.exp(model.transitions)[None] * (scaled * backward)[pairs + 1][:, None, :]
+        joint /= joint.sum(axis=(1, 2), keepdims=True)
+        change = np.zeros((many, many))
+        np.add.at(change, (self.label[pairs], self.label[pairs + 1]), 1.0)
+        change -= joint.sum(axis=0)
+        error = -p
+        error[np.arange(len(self.word)), self.label] += 1
+        by_word = np.stack([np.bincount(self.word, error[:, c], vocabulary) for c in range(many)], axis=1)
+        owner = np.repeat(np.arange(vocabulary), np.diff(np.append(self.starts, len(self.grams[0]))))
+        slope = np.zeros(model.grams.shape)
+        for g in self.grams:
+            for c in range(many):
+                slope[:, c] += np.bincount(g, by_word[owner, c], len(slope))
+        slope[0] = 0
+        entry = np.stack([np.bincount(self.rows, by_word[:, c], len(model.entries)) for c in range(many)], axis=1)
+        entry[-1] = 0
+        return slope, entry, change
 
-    Texts without letters teach nothing; with no usable row there are no languages and every prediction is `und`.
-    """
-    draw = np.random.default_rng(seed)
+
+def prepared(rows: list[tuple[str, str]], draw: np.random.Generator) -> tuple[ChainField, Training | None]:
+    """An untrained field for the sample and its sequences: three stretches of different slices, in a drawn order."""
     languages = sorted({lang for lang, _ in rows})
     number = {lang: k for k, lang in enumerate(languages)}
     stretches: list[tuple[int, list[str]]] = []
@@ -173,7 +216,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> ChainField:
             stretches.append((number[lang], found[at : at + size]))
             at += size
     if not stretches:
-        return ChainField([], np.zeros((1, 0), np.float32), np.zeros(0, np.uint64), np.zeros((1, 0), np.float32), np.zeros((0, 0)))
+        return ChainField([], np.zeros((1, 0), np.float32), np.zeros(0, np.uint64), np.zeros((1, 0), np.float32), np.zeros((0, 0))), None
     vocabulary = sorted(holders)
     index = {w: k for k, w in enumerate(vocabulary)}
     draw.shuffle(stretches)
@@ -184,42 +227,26 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> ChainField:
         for lang, s in group:
             word += [index[w] for w in s]
             label += [lang] * len(s)
-    word, label, lengths = np.array(word), np.array(label), np.array(lengths)
     many = len(languages)
     grams, starts, whole = word_features(vocabulary)
     lexicon = np.unique(whole[[k for k, w in enumerate(vocabulary) if len(holders[w]) >= LEXICON_LEAST]])
     model = ChainField(languages, np.zeros((BUCKETS, many), np.float32), lexicon, np.zeros((len(lexicon) + 1, many), np.float32), np.eye(many))
-    rows_of = model.lexicon_rows(whole)
-    owner = np.repeat(np.arange(len(vocabulary)), np.diff(np.append(starts, len(grams[0]))))
-    ends = np.cumsum(lengths)
-    inside = np.ones(len(word), bool)
-    inside[ends - 1] = False
-    pairs = np.flatnonzero(inside)  # words that have a next one
-    squares = [np.full(x.shape, 1e-6) for x in (model.grams, model.entries, model.transitions)]
+    return model, Training(np.array(word), np.array(label), np.array(lengths), grams, starts, model.lexicon_rows(whole))
+
+
+def fit(rows: list[tuple[str, str]], seed: int = 5) -> ChainField:
+    """Learns the field from the sample by adaptive gradient steps on the likelihood of code-switched sequences.
+
+    Texts without letters teach nothing; with no usable row there are no languages and every prediction is `und`.
+    """
+    model, training = prepared(rows, np.random.default_rng(seed))
+    if training is None:
+        return model
+    weights = (model.grams, model.entries, model.transitions)
+    squares = [np.full(x.shape, 1e-6) for x in weights]
     for _ in range(ROUNDS):
-        emission = model.entries[rows_of].astype(np.float64)
-        for g in grams:
-            emission += np.add.reduceat(model.grams[g], starts, axis=0)
-        e = emission[word]
-        p, forward, backward = posteriors(e, model.transitions, lengths)
-        scaled = np.exp(e - e.max(axis=1, keepdims=True))
-        joint = forward[pairs][:, :, None] * np.exp(model.transitions)[None] * (scaled * backward)[pairs + 1][:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        change = np.zeros((many, many))
-        np.add.at(change, (label[pairs], label[pairs + 1]), 1.0)
-        change -= joint.sum(axis=0)
-        error = -p
-        error[np.arange(len(word)), label] += 1
-        by_word = np.stack([np.bincount(word, error[:, c], len(vocabulary)) for c in range(many)], axis=1)
-        slope = np.zeros(model.grams.shape)
-        for g in grams:
-            for c in range(many):
-                slope[:, c] += np.bincount(g, by_word[owner, c], BUCKETS)
-        slope[0] = 0
-        entry = np.stack([np.bincount(rows_of, by_word[:, c], len(lexicon) + 1) for c in range(many)], axis=1)
-        entry[-1] = 0
-        for weight, own, square in zip((model.grams, model.entries, model.transitions), (slope, entry, change), squares):
-            own = own / len(word) - DECAY * weight
+        for weight, own, square in zip(weights, training.slopes(model), squares):
+            own = own / len(training.word) - DECAY * weight
             square += own * own
             weight += (RATE * own / np.sqrt(square)).astype(weight.dtype)
     return model
