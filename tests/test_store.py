@@ -153,6 +153,25 @@ def test_bloom_never_misses(spark):
     assert all({b for b in range(1000) if bitmap[t][b // 64] >> (b % 64) & 1} == bit_rows[t] for t in range(5))
 
 
+def test_bloom_compares_only_near_tables(spark, monkeypatch):
+    """Nested, touching, single and empty ranges, keys outside and repeated, many small stretches: as by brute force, and no
+    key is compared with all tables."""
+    monkeypatch.setattr(bloom, "STRETCH", 4, raising=False)
+    monkeypatch.setattr(bloom, "RANGE", 50, raising=False)
+    rng = random.Random(5)
+    spots = [(t, n) for t in range(60) for n in range(t * 8, t * 8 + 8)] + [(60, n) for n in range(0, 480, 40)] + [(61, 7), (62, 100), (62, 300)]
+    spots += [(63 + t, n) for t in range(20) for n in rng.sample(range(100, 140), 3)]
+    rows = spark.createDataFrame([(f"k{n:04d}", "v", False, t, 0, i) for i, (t, n) in enumerate(spots)], TABLE)
+    asked = [f"k{n:04d}" for n in range(0, 600, 3)] + ["", "a", "k0120", "k0120", "z", "é", None]
+    bitmap = {r["file_number"]: r["filter"] for r in bloom.filters(rows).collect()}
+    low = {r["file_number"]: (r["min_key"], r["max_key"]) for r in flush.metadata(rows).collect()}
+    claimed = bloom.may_contain(bloom.filters(rows), flush.metadata(rows), spark.createDataFrame([(k,) for k in asked], "key string"))
+    want = sorted((k, t) for k in asked if k is not None for t in low if low[t][0] <= k <= low[t][1] and bloom.has(bitmap[t], k))
+    assert sorted((r["key"], r["file_number"]) for r in claimed.collect()) == want
+    plan = claimed._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_batches_of_many_tables(spark, tmp_path):
     """A batch becomes several tables; compaction keeps entries, the newest overwrite and deletes, and writes each table once."""
     store = Store(spark, EngineConfig(str(tmp_path / "db"), table_entries=100, gc_tombstones=True))
