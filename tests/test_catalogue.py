@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from tidemark.operators import bloom
 from tidemark.plans import catalogue, stored  # noqa: F401, they register their queries
 from tidemark.plans.registry import ORACLE_SQL, QUERIES
 
@@ -34,6 +35,13 @@ def test_query(spark, db, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.skipif(not DATA.is_dir(), reason="no test tables here")
+def test_bloom_fp_rate_compares_no_key_with_every_table(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "RANGE", 50, raising=False)  # with one range, its one row of sizes is joined without a key
+    plan = QUERIES["bloom_fp_rate"](spark, str(DATA))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 @pytest.mark.parametrize("broken", [False, True])
 def test_entry_imports_without_the_other_folder(tmp_path, broken):
     """In a copy without the llm folders and the pipeline, or where what they import is missing, the rest is there."""
