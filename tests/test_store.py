@@ -140,6 +140,27 @@ def test_exact_segments(spark):
     assert [r["file_number"] for r in flush.exact_segments(log, 3).orderBy("seq").collect()] == [0, 0, 0, 1, 1, 1]
 
 
+@pytest.mark.parametrize(("capacity", "names"), [(1, 2), (3, 4), (5, 6), (5, 200), (7, 7), (9, 12), (9, 5), (40, 60)])
+def test_exact_segments_over_stretches(spark, monkeypatch, capacity, names):
+    """Borders run on over the stretches of a log, hot keys and null keys too, and no task has the whole log."""
+    monkeypatch.setattr(flush, "STRETCH", 25, raising=False)
+    monkeypatch.setattr(flush, "PER_KEY", 1, raising=False)
+    rng = random.Random(capacity * 1000 + names)
+    keys = [rng.choice([None, "k0", "k1", "k2"]) if n // 90 % 2 else f"k{rng.randrange(names)}" for n in range(500)]
+    want, number, seen = [], 0, set()
+    for key in keys:
+        if len(seen) == capacity:
+            number, seen = number + 1, set()
+        seen.add(key)
+        want.append(number)
+    rows = [(k, "1", False, 7 * n - 900) for n, k in enumerate(keys)]
+    rng.shuffle(rows)
+    got = flush.exact_segments(spark.createDataFrame(rows, "key string, val string, tombstone boolean, seq bigint"), capacity)
+    assert [r["file_number"] for r in got.orderBy("seq").collect()] == want
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 5 and max(r["count"] for r in tasks) < 200
+
+
 def test_bloom_never_misses(spark):
     rows = spark.createDataFrame([(f"k{n}", "v", False, n % 5, 0, n) for n in range(200)], TABLE)
     claimed = bloom.may_contain(bloom.filters(rows), flush.metadata(rows), rows.select("key").distinct())
