@@ -42,6 +42,19 @@ def test_bloom_fp_rate_compares_no_key_with_every_table(spark, monkeypatch):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("name", ["bloom_probe", "bloom_fp_rate"])
+def test_bloom_tables_of_one_number_are_one_table(spark, tmp_path, name):
+    """From part 128,000,000 on, tables of level 1 have numbers that level 0 has as well: the filter and the range are of both."""
+    keys = [*range(130), *range(5000, 5400), *range(128_000_000, 128_000_128)]
+    part = spark.createDataFrame([(k, f"n{k}", f"b{k}") for k in keys], "p_partkey bigint, p_name string, p_brand string")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = con.execute(f'SELECT "{'", "'.join(got.columns)}" FROM ({ORACLE_SQL[name]})').fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("broken", [False, True])
 def test_entry_imports_without_the_other_folder(tmp_path, broken):
     """In a copy without the llm folders and the pipeline, or where what they import is missing, the rest is there."""

@@ -42,9 +42,8 @@ def holds(bitmap: Column, places: Column) -> Column:
 def _placed(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """Keys (kind 1) and the ends of tables (kinds 0 and 2) with n, the number of keys up to there in the order of all keys: a
     running count in each range, and the sum of the ranges before."""
-    of = [F.col(c) for c in ("file_number", "min_key", "max_key")]
-    ends = [manifest.select(F.col(c).alias("key"), F.lit(kind).alias("kind"), *of) for c, kind in (("min_key", 0), ("max_key", 2))]
-    points = keys.select("key", F.lit(1).alias("kind")).unionByName(ends[0], allowMissingColumns=True).unionByName(ends[1]).where("key IS NOT NULL")
+    ends = F.array(*[F.struct(F.col(c).alias("key"), F.lit(kind).alias("kind")) for c, kind in (("min_key", 0), ("max_key", 2))])
+    points = keys.select("key", F.lit(1).alias("kind")).unionByName(manifest.select("file_number", F.inline(ends)), allowMissingColumns=True).where("key IS NOT NULL")
     points = points.withColumn("range", range_of(F.col("key"), cuts(points, "key", RANGE)))
     sizes = points.groupBy("range").agg(F.count(F.when(F.col("kind") == 1, 1)).alias("size"))
     before = F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -55,12 +54,13 @@ def _placed(manifest: DataFrame, keys: DataFrame) -> DataFrame:
 def may_contain(filters: DataFrame, manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, file_number) of the tables that may hold the key: it is in their range and all its bits are set. Never misses
     one that does. Keys in order are cut into stretches of equal size, and a table meets those that its range touches: all
-    but the first and last lie inside it, so the pairs compared are those in range and at most 2 * STRETCH a table."""
+    but the first and last lie inside it, so the pairs compared are those in range and at most 2 * STRETCH a table. Rows of the
+    manifest with one number are one table, as in the filters."""
     placed = _placed(manifest, keys)
     stretch = lambda n: F.floor(n / STRETCH)
     hashed = placed.where("kind = 1").select("key", positions(F.col("key")).alias("places"), stretch(F.col("n") - 1).alias("stretch"))
-    ends = [F.max(F.when(F.col("kind") == kind, F.col("n"))).alias(name) for kind, name in ((0, "first"), (2, "end"))]
-    spans = placed.where("kind <> 1").groupBy("file_number", "min_key", "max_key").agg(*ends).where("first < end")
+    ends = [f(F.when(F.col("kind") == kind, F.col(c))).alias(name) for f, kind, c, name in ((F.min, 0, "key", "min_key"), (F.max, 2, "key", "max_key"), (F.min, 0, "n", "first"), (F.max, 2, "n", "end"))]
+    spans = placed.where("kind <> 1").groupBy("file_number").agg(*ends).where("first < end")
     spans = spans.withColumn("stretch", F.sequence(stretch(F.col("first")), stretch(F.col("end") - 1)))
     tables = spans.join(filters, "file_number").select("file_number", "min_key", "max_key", "filter", F.explode("stretch").alias("stretch"))
     inside = (F.col("key") >= F.col("min_key")) & (F.col("key") <= F.col("max_key"))
